@@ -4,15 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelex.llm.bpe import bpe_round_trip
+from tidelex.llm.language_id import language_id
+from tidelex.llm.packing import pack
+from tidelex.llm.quality import quality_scores
+from tidelex.llm.quality_rules import quality_rules
 from tidelex.llm.substring_dedup import substring_dedup
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer file lies on this machine; any path does in its place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op5_language_id, op6_packing, op8_quality_rules, op9_bpe)}
 
 
 OP3_SQL = r"""
