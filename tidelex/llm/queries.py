@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelex.llm.bpe import bpe_round_trip
 from tidelex.llm.language_id import language_id
+from tidelex.llm.lattice_dedup import embedding_components
+from tidelex.llm.licenses import license_scan
+from tidelex.llm.ngram_join import ngram_components
 from tidelex.llm.packing import pack
 from tidelex.llm.quality import quality_scores
 from tidelex.llm.quality_rules import quality_rules
 from tidelex.llm.substring_dedup import substring_dedup
+from tidelex.llm.warc import warc_round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -27,10 +31,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,8 +63,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_quality_classifier, op2_lattice_dedup, op3_substring_dedup, op4_license_scan, op5_language_id, op6_packing, op7_warc, op8_quality_rules, op9_bpe, op10_ngram_join)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op5_language_id, op6_packing, op8_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP3_SQL = r"""
@@ -62,6 +85,35 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, least(e.vec_id, coalesce(m, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) d ON d.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, n, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < m THEN m END AS refers_to FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL}
+    return {"op2_lattice_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op10_ngram_join": OP10_SQL}

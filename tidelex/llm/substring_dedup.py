@@ -112,25 +112,28 @@ def _cut(text: str | None, marked: np.ndarray | None, window: int) -> tuple[int,
     return n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), left
 
 
-def _rows(part: pa.RecordBatch, marks: dict[int, np.ndarray], window: int, with_text: bool):
+def _rows(part: pa.RecordBatch, marks: dict[int, np.ndarray], window: int, with_text: bool, carry: list[str]):
     found = [(i, *_cut(t, marks.get(i) if i is not None else None, window)) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())]
     columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.string())]
     if with_text:  # untouched texts stay as they are, with their own white space
         columns.append(pa.array([t if x[2] == 0 else b" ".join(x[4]).decode() for x, t in zip(found, part.column("text").to_pylist())], pa.string()))
-    return columns
+    return columns + [part.column(f"__{c}") for c in carry]
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, map_bits: int = MAP_BITS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for each row of ``docs(doc_id, text)``.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, map_bits: int = MAP_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) and the columns ``carry`` for each row of
+    ``docs(doc_id, text)``. A kept text with removals has its words joined by blanks; others stay as they are.
 
     ``map_bits``: the bit map of documents with repeats has 2**map_bits bits (8 MB), whatever their
     number; a full map only means that more texts are shuffled.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    carry = list(carry)
+    kinds = "".join(f", `__{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).alias(f"__{c}") for c in carry))
     bits = bucket_bits(spark)
     groups = 1 << bits
-    packed = docs.mapInArrow(lambda it: _pack(it, window, bits), "range int, hashes binary, gaps binary, wide binary, docs binary, counts binary")
+    packed = docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, window, bits), "range int, hashes binary, gaps binary, wide binary, docs binary, counts binary")
     repeats = stored(packed.groupBy("range").applyInArrow(lambda t: _repeats(t, groups), "to int, docs binary, counts binary, positions binary"), "repeats")
 
     def places(it):
@@ -145,8 +148,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         lo = (k - 1) * 32768
         bit_map[lo : lo + 32768] = on[: len(bit_map) - lo]
     marked = spark.sparkContext.broadcast(np.packbits(bit_map))
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + [f"__{c}" for c in carry]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + kinds
 
     def has_marks(batch):
         ids = batch.column("doc_id")
@@ -158,13 +161,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     def untouched(it):
         for batch in it:
             for part in K.slices(batch.filter(pa.array(~has_marks(batch))), "text"):
-                yield pa.RecordBatch.from_arrays(_rows(part, {}, window, with_text), names=names)
+                yield pa.RecordBatch.from_arrays(_rows(part, {}, window, with_text, carry), names=names)
 
     def touched(it):
         for batch in it:
             part = batch.filter(pa.array(has_marks(batch)))
             to = (K.mix(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), part.column("doc_id"), part.column("text")], names=["to", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(to), *part.columns], names=["to", *part.schema.names])
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
@@ -177,9 +180,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         doc, pos = doc[order], pos[order]
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         marks = {int(doc[a]): pos[a:b] for a, b in zip(first, np.r_[first[1:], len(doc)])}
-        out = [pa.RecordBatch.from_arrays(_rows(part, marks, window, with_text), names=names) for batch in texts.to_batches() for part in K.slices(batch, "text")]
-        empty = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
-        return pa.Table.from_batches(out, empty)
+        out = [pa.RecordBatch.from_arrays(_rows(part, marks, window, with_text, carry), names=names) for batch in texts.to_batches() for part in K.slices(batch, "text")]
+        plain = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text + [texts.schema.field(f"__{c}") for c in carry])
+        return pa.Table.from_batches(out, plain)
 
-    some = docs.mapInArrow(touched, "to int, doc_id long, text string").groupBy("to").cogroup(repeats.groupBy("to")).applyInArrow(cut, schema)
-    return docs.mapInArrow(untouched, schema).unionByName(some)
+    some = docs.mapInArrow(touched, "to int, doc_id long, text string" + kinds).groupBy("to").cogroup(repeats.groupBy("to")).applyInArrow(cut, schema)
+    return docs.mapInArrow(untouched, schema).unionByName(some).withColumnsRenamed({f"__{c}": c for c in carry})
