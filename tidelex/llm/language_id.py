@@ -93,12 +93,15 @@ class CrossParser:
             table = np.full((len(moves), self.width), -1, np.int64)
             for s, m in enumerate(moves):
                 for c, t in m.items():
-                    table[s, c] = (base + t) * self.width * 2
+                    table[s, c] = (base + t) * self.width * 4
             table[:, self.other] = -1
-            # A failing symbol ends the phrase (flag 1) and begins the next one at the start.
-            restart = np.where(table[0] >= 0, table[0], base * self.width * 2) + 1
+            # A move is 4 times the next state's row, plus the phrases it ends. A symbol that doesn't fit ends the
+            # phrase and begins the next one; one that the language has nowhere is a phrase itself.
+            known = table[0] >= 0
+            restart = np.where(known, table[0] + 1, base * self.width * 4 + 2)
             table = np.where(table >= 0, table, restart)
-            table[:, 0] = np.arange(base, base + len(moves)) * self.width * 2
+            table[0, ~known] = base * self.width * 4 + 1
+            table[:, 0] = np.arange(base, base + len(moves)) * self.width * 4
             rows.append(table.astype(np.int32))
             bases.append(base * self.width)
             base += len(moves)
@@ -141,8 +144,8 @@ class CrossParser:
         for t in range(int(length[0]) if len(length) else 0):
             m = int(alive[t])
             move = self.table[state[:, :m] + padded[at[:m] + t]]
-            count[:, :m] += move & 1
-            state[:, :m] = move >> 1
+            count[:, :m] += move & 3
+            state[:, :m] = move >> 2
         count += state != self.starts[:, None]
         total = np.zeros((len(self.languages), n), np.int64)
         for k in range(len(self.languages)):

@@ -260,4 +260,4 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
         low = again.groupBy("doc_id").agg(F.min("component").alias("low"))
         merged = components(again.join(low, "doc_id").select(F.col("component").alias("a"), F.col("low").alias("b")))
         reps_of = reps_of.join(merged, reps_of.component == merged.node, "left").select("fa", "fb", F.coalesce(merged.component, reps_of.component).alias("component"))
-    return members.join(reps_of, ["fa", "fb"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return members.join(reps_of, ["fa", "fb"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
