@@ -16,7 +16,7 @@ from tidelex.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits a symbol from which a text is in none of the languages learned.
-MOST_COST = 6.0
+MOST_COST = 8.0
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
