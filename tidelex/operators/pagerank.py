@@ -1,7 +1,7 @@
 """PageRank over edges(src, dst): multi-edges and self links count, dangling mass is spread over all nodes.
 
 Edges are prepared once, partitioned by src with the out-degree on each. An iteration is one join and one
-aggregation; its table goes to the shared folder every few iterations, so that lineage stays short.
+aggregation; its table goes to the shared folder, so that lineage stays short.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def step(ranks: DataFrame, weighted: DataFrame, n: int, damping: float = DAMPING) -> DataFrame:
-    """One update of ranks(doc_id, degree, score) along weighted(src, dst)."""
+    """One update of ranks(doc_id, degree, score) along weighted(src, dst); the old scores stay as ``previous``."""
     given = ranks.where("degree > 0").select(F.col("doc_id").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
     received = weighted.join(given, "src").groupBy(F.col("dst").alias("doc_id")).agg(F.sum("share").alias("received"))
     dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0))).scalar()
@@ -34,9 +34,12 @@ def step(ranks: DataFrame, weighted: DataFrame, n: int, damping: float = DAMPING
     return ranks.select("doc_id", "degree", F.col("score").alias("previous")).join(received, "doc_id", "left").select("doc_id", "degree", "previous", score.alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
-    """(doc_id, score). With ``tolerance`` the loop ends once the scores' total change is below it; without, all
-    iterations run and tables are written every ``every`` iterations only."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE) -> DataFrame:
+    """(doc_id, score). With ``tolerance`` the loop ends at the first iteration whose total change is below it.
+
+    Each iteration reads its scores three times, so its table is written before the next one begins:
+    left lazy, the work would grow as a power of the iterations.
+    """
     n = nodes.count()
     if n == 0:
         return nodes.select("doc_id", F.lit(0.0).alias("score"))
@@ -44,12 +47,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     weighted = edges.join(ids.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
     weighted = stored(weighted.select("src", "dst").repartition("src"), "edges")
     ranks = stored(out_degree(nodes, weighted).withColumn("score", F.lit(1.0 / n)), "ranks")
-    for k in range(iterations):
-        ranks = step(ranks, weighted, n, damping)
-        if tolerance is not None:
-            ranks = stored(ranks, "ranks")
-            if ranks.agg(F.sum(F.abs(F.col("score") - F.col("previous")))).first()[0] < tolerance:
-                break
-        elif k % every == every - 1:
-            ranks = stored(ranks, "ranks")
+    for _ in range(iterations):
+        ranks = stored(step(ranks, weighted, n, damping), "ranks")
+        if tolerance is not None and ranks.agg(F.sum(F.abs(F.col("score") - F.col("previous")))).first()[0] < tolerance:
+            break
     return ranks.select("doc_id", "score")
