@@ -107,7 +107,7 @@ def test_serving(spark, tmp_path):
     from tidelex.serving.server import make_server
     from tidelex.plans.index import SearchIndex
 
-    mirror(spark).withColumn("page_id", F.when(F.col("url").endswith("index"), 0).otherwise(1)).write.parquet(str(tmp_path / "p.parquet"))
+    S.number(mirror(spark), F.col("url"), name="page_id").write.parquet(str(tmp_path / "p.parquet"))
     assert main(["build", str(tmp_path / "p.parquet"), str(tmp_path / "i")], spark) == 0
     assert main(["query", str(tmp_path / "i"), "about"], spark) == 0 and main(["query", str(tmp_path / "i"), "(about"], spark) == 1
     server = make_server(SearchIndex.load(spark, str(tmp_path / "i")), 0)
