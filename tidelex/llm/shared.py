@@ -1,30 +1,13 @@
-"""What several operators share: the shared folder, sizes, connected components."""
+"""What several operators share: sizes, connected components, and the shared folder of tidelex.storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.storage import shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Without ``spark.checkpoint.dir`` (tests), a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidelex-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bucket_bits", "components", "shared_folder", "shuffle_partitions", "stored"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
