@@ -518,13 +518,18 @@ def graph(spark, d) -> tuple[DataFrame, DataFrame]:
     return p, a.unionByName(p.where(i % 3 == 0).select(i.alias("src"), ((13 * i + 1) % n).alias("dst")))
 
 
-def ranks_sql(steps: int) -> str:
+def ranks_sql(steps: int, tolerance: float | None = None) -> str:
     ctes = [GRAPH, "r0 AS MATERIALIZED (SELECT doc_id, degree, 1.0::DOUBLE / n AS score FROM deg, n)"]
     for k in range(steps):
         ctes.append(
             f"r{k + 1} AS MATERIALIZED (SELECT r.doc_id, r.degree, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE / n * (SELECT coalesce(sum(score), 0) FROM r{k} WHERE degree = 0) + 0.85::DOUBLE * coalesce(g.s, 0) AS score "
             f"FROM r{k} r CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(q.score / q.degree) AS s FROM e JOIN r{k} q ON q.doc_id = e.src GROUP BY e.dst) g ON g.dst = r.doc_id)"
         )
+    if tolerance is not None:
+        every = " UNION ALL ".join(f"SELECT {k} AS k, r.doc_id, r.score, abs(r.score - q.score) AS change FROM r{k} r JOIN r{k - 1} q USING (doc_id)" for k in range(1, steps + 1))
+        ctes.append(f"steps AS MATERIALIZED ({every})")
+        first = f"(SELECT min(k) FROM (SELECT k FROM steps GROUP BY k HAVING sum(change) < {tolerance} OR k = {steps}))"
+        return f"WITH {', '.join(ctes)} SELECT doc_id, round(score, 9) AS score FROM steps WHERE k = {first}"
     return f"WITH {', '.join(ctes)} SELECT doc_id, round(score, 9) AS score FROM r{steps}"
 
 
@@ -559,7 +564,7 @@ def pagerank(spark, d):
     return _ranks(spark, d, iterations=20, tolerance=None)
 
 
-@query(None)
+@query(ranks_sql(P.ITERATIONS, P.TOLERANCE))
 def pagerank_converged(spark, d):
     return _ranks(spark, d)
 
@@ -683,7 +688,12 @@ def crawl_stats(spark, d):
     return C.crawl_stats(pages(spark, d).select(status.alias("status")))
 
 
-@query(None)
+@query(
+    f"""WITH {LINKS}, {TITLES.removeprefix(SEG + ", " + EX + ", ")}, seeds AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages ORDER BY page_id LIMIT 10),
+outs AS (SELECT page_id, pos, link_url FROM links JOIN seeds USING (page_id) WHERE starts_with(lower(link_url), 'http://') OR starts_with(lower(link_url), 'https://') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 50)
+SELECT n AS page_id, seeds.url, title, 0 AS depth, 'fetched' AS status FROM seeds JOIN titles USING (page_id)
+UNION ALL SELECT DISTINCT NULL::BIGINT, link_url, '', 1, 'failed' FROM outs WHERE link_url NOT IN (SELECT url FROM pages)"""
+)
 def crawl_run(spark, d):
     """A crawl over the pages as a mirror, from the first ten of them."""
     mirror = pages(spark, d)
