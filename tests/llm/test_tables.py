@@ -11,7 +11,8 @@ from tidelex.llm.shared import components
 from tidelex.llm.warc import ARC_FIELDS, ArcRecord, page_of, read_arc, read_warc, record_id, to_warc, warc_round_trip, write_arc
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_task", [300_000, 40])
+def test_components(spark, in_task):
     r = random.Random(0)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1080)] + [(2000, i) for i in range(2001, 2100)]
     up = {}
@@ -24,7 +25,7 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             up[max(find(a), find(b))] = min(find(a), find(b))
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), in_task=in_task).collect()}
     assert got == {x: find(x) for x in list(up)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -6,16 +6,19 @@ share at least k of their first tokens in hash order (``_prefix``), so only thos
 
 1. the first tokens of all sets are packed by hash range; a token that only one class has is dropped there,
    together with those that no class of a fitting size shares;
-2. classes that share their first shared token are similar: they form groups of at most GROUP classes. The matrix
-   has a row (token, group) for the union of each group's tokens, with the range of its sizes;
-3. a query class meets a group in so many tokens of the union; if that count is below k, no member can link
-   (the bound). Only the (query, group) cells that reach it are opened;
-4. an opened cell gets the whole sets, and joins members until all that link are in one component: a pair
-   already connected through others needs no comparison. What leaves a cell is a spanning forest.
-
-Hot tokens: copies are one class before anything is paired, a group stands for its members in
-the matrix, and cells of two groups are the unit of work, so that a passage in a third of all texts is
-met group by group. Nothing is capped.
+2. classes with the same first shared token are similar: they form groups of at most GROUP classes. Each group is
+   opened by itself, and its links are joined to components. Where a token has several groups, one class for
+   each component and token forms groups again, as long as that merges many: so the groups of a large
+   cluster become one component without being compared with each other;
+3. the matrix has a row (token, group) for the union of each group's tokens, with the ranges of its sizes and of its
+   components' ranks. A query class meets a group in so many tokens of the union; if that count is below k, no
+   member can link (the bound). Only groups that reach it, and that hold a component of a larger rank than the
+   query's own, are opened: of two classes in different components the one of the smaller component asks;
+4. an opened group gets the whole sets of its members and of its queries. Pairs that are connected already need
+   no comparison; what leaves is a spanning forest of the links found.
+
+Hot tokens: copies are one class before anything is paired, a cluster that has become one component
+asks nothing, and queries of one group are dealt out in blocks. Nothing is capped.
 
 Edge cases: null and empty texts have no shingle and link with nothing (each its own component); 1 or
 2 words are one shingle. Rows with null doc_id are returned with null component_id. Rows with one doc_id
@@ -34,8 +37,11 @@ from tidelex.llm.shared import bucket_bits, components, stored
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
-GROUP = 256
+EXTRA = 8
+GROUP = 512
+QUERIES = 1024
 HOT_KEYS = 100_000
+ROUNDS = 5
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +71,7 @@ def least_overlap(n, num: int, den: int):
 
 def extra(n):
     """Shared first tokens asked for, by set size: more of them bound better and index more."""
-    return np.maximum(1, n // 16)
+    return np.maximum(1, n // EXTRA)
 
 
 def _prefix(n, num: int, den: int):
@@ -181,83 +187,123 @@ def _link_cell(left: list, right: list, num: int, den: int) -> list[tuple[int, i
     return out
 
 
+def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size: none of these sides has a bound."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def _grouped(classes: DataFrame, group: int) -> DataFrame:
+    """classes(rep, fa, n, key, weight) with ``gid``: at most ``group`` of one key, those of large weight first. Keys
+    of many classes are dealt out by a hash before they are sorted."""
+    most = max(group, classes.count() // HOT_KEYS + 1)  # so at most HOT_KEYS keys are hotter: that bounds the broadcast
+    hot = classes.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
+    dealt = classes.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
+
+    def number(batches):
+        was, k = None, 0
+        for batch in batches:
+            places = []
+            for here in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist()):
+                k = k + 1 if here == was else 0
+                was = here
+                places.append((here[0], here[1] * 1_000_003 + k // group))
+            keys, turns = (np.array(c, np.int64).view(np.uint64) for c in zip(*places)) if places else (np.zeros(0, np.uint64),) * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "fa", "n", "key")), pa.array(K.mix(keys ^ K.mix(turns + np.uint64(1))).view(np.int64))], names=["rep", "fa", "n", "key", "gid"])
+
+    sorted_ = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("weight"), "n", "rep")
+    return stored(sorted_.mapInArrow(number, "rep long, fa long, n long, key long, gid long"), "groups")
+
+
+def _links_within(grouped: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of each group's members, as a spanning forest."""
+    shared = grouped.groupBy("gid").count().where("count > 1").select("gid")
+
+    def link(table: pa.Table) -> pa.Table:
+        mine = [(r["rep"], np.frombuffer(r["tokens"], np.uint64)) for r in table.to_pylist()]
+        return _edges(_link_cell(mine, mine, num, den))
+
+    rows = _join(_join(grouped, shared, "gid", "left_semi").select("gid", "rep", "fa"), sets, ["rep", "fa"]).select("gid", "rep", "tokens")
+    return stored(rows.groupBy("gid").applyInArrow(link, "a long, b long"), "links")
+
+
+def _edges(links: list) -> pa.Table:
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components, of grouped(rep, fa, n, gid, rank): classes ask groups through the matrix."""
+    rows = stored(_join(postings, grouped, ["fa", "n"]).select("token", "rep", "fa", "n", "gid", "rank"), "rows")
+    matrix = rows.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rank").alias("top"))
+    # A token whose classes are in one component asks nothing, nor do those of its largest component.
+    top = rows.groupBy("token").agg(F.max("rank").alias("best"), F.min("rank").alias("least")).where("least < best").select("token", "best")
+    asking = _join(rows, top, "token").where("rank < best").select("token", "rep", "fa", "n", "rank")
+    fits = f"q.n * {num} <= g.high * {den} AND g.low * {num} <= q.n * {den} AND q.rank < g.top"
+    met = _join(asking.alias("q"), matrix.alias("g"), "token").where(fits)
+    asked = F.greatest(F.lit(1), F.floor(F.least("n", "low") / EXTRA))
+    cells = met.groupBy("rep", "fa", "n", "gid").agg(F.count("*").alias("met"), F.min("low").alias("low")).where(F.col("met") >= asked)
+    cells = stored(cells.select("rep", "fa", "gid"), "cells")
+    blocks = cells.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    members = _join(grouped, blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "fa", F.lit(1).alias("side"))
+    queries = _join(cells, blocks, "gid").select("gid", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", "fa", F.lit(0).alias("side"))
+    opened = _join(members.unionByName(queries), sets, ["rep", "fa"]).select("gid", "block", "side", "rep", "tokens")
+
+    def link(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for r in table.to_pylist():
+            sides[r["side"]].append((r["rep"], np.frombuffer(r["tokens"], np.uint64)))
+        return _edges(_link_cell(*sides, num, den) if sides[0] and sides[1] else [])
+
+    return stored(opened.groupBy("gid", "block").applyInArrow(link, "a long, b long"), "links")
+
+
 def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``; sets link at Jaccard >= num/den."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = bucket_bits(spark)
+    bits = bucket_bits(docs.sparkSession)
     members = stored(class_table(docs, size), "sets")
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: _pack(it, size, bits, num, den), "range int, tokens binary, sets binary, sizes binary, counts binary")
     postings = stored(packed.groupBy("range").applyInArrow(lambda t: _shared(t, num, den), "token long, fa long, n long"), "postings")
 
-    # Groups: by the first shared token; hot ones are dealt out first by a hash of the set.
-    owned = postings.groupBy("fa", "n").agg(F.min("token").alias("key"), F.count("*").alias("met"))
-    fewest = F.floor(F.ceil(F.col("n") * num / den) / 16)  # what the smallest set that fits asks for
-    owned = owned.where(F.col("met") >= F.greatest(F.lit(1), fewest))
-    owned = stored(owned, "owned")
-    total = owned.count()
-    most = max(group, total // HOT_KEYS + 1)  # so at most HOT_KEYS keys are hotter: that bounds the broadcast
-    hot = owned.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
-    salted = owned.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("fa"), F.coalesce("parts", F.lit(1))))
-
-    def number(batches):
-        was, k, g = None, 0, 0
-        for batch in batches:
-            keys, salts = batch.column("key").to_pylist(), batch.column("salt").to_pylist()
-            ids = []
-            for here in zip(keys, salts):
-                k = k + 1 if here == was else 0
-                was = here
-                g = int(K.mix(np.array([here[0] & (2**64 - 1)], np.uint64) ^ K.mix(np.array([here[1] * 1_000_003 + k // group + 1], np.uint64)))[0].astype(np.int64)) if k % group == 0 else g
-                ids.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column("fa"), batch.column("n"), pa.array(ids, pa.int64())], names=["fa", "n", "gid"])
-
-    grouped = stored(salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "fa").mapInArrow(number, "fa long, n long, gid long"), "groups")
-
-    # The token-group matrix, and the cells whose bound reaches the tokens asked for.
-    rows = stored(postings.join(grouped, ["fa", "n"]), "rows")
-    matrix = rows.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = rows.alias("q").join(matrix.alias("g"), "token").where(f"q.n * {num} <= g.high * {den} AND g.low * {num} <= q.n * {den} AND q.gid >= g.gid")
-    asked = F.greatest(F.lit(1), F.floor(F.least("n", "low") / 16))
-    cells = met.groupBy(F.col("q.fa").alias("fa"), F.col("q.n").alias("n"), F.col("q.gid").alias("qg"), F.col("g.gid").alias("gg")).agg(F.count("*").alias("met"), F.min("low").alias("low"))
-    cells = stored(cells.where(F.col("met") >= asked).select("fa", "qg", "gg"), "cells")
-
-    # Whole sets of the classes in a cell, one text for each class.
-    needed = cells.where("qg <> gg").select("fa").distinct().unionByName(cells.where("qg = gg").groupBy("gg").agg(F.count("*").alias("c")).where("c > 1").select(F.col("gg").alias("gid")).join(grouped, "gid").select("fa"))
-    needed = needed.unionByName(cells.where("qg <> gg").select(F.col("gg").alias("gid")).distinct().join(grouped, "gid").select("fa")).distinct()
+    # Classes that may link at all, each by its smallest doc_id, and their whole sets.
     classes = members.where("fa IS NOT NULL AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    reps = classes.join(needed, "fa").select("rep", "fa").distinct()
+    fewest = F.floor(F.ceil(F.col("n") * num / den) / EXTRA)  # what the smallest set that fits asks for
+    owned = postings.groupBy("fa", "n").agg(F.min("token").alias("key"), F.count("*").alias("met")).where(F.col("met") >= F.greatest(F.lit(1), fewest))
+    owned = stored(_join(owned, classes, "fa").select("rep", "fa", "n", "key").distinct(), "owned")
 
     def whole(batches):
         for part, sets, bounds in _each(batches, size):
             fa, _ = _fingerprints(sets, bounds)
-            ok = np.array([int(a) == b for a, b in zip(fa, part.column("fa").to_pylist())], bool)  # a doc_id may have other texts
-            keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(keep)), part.column("fa").take(pa.array(keep)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["rep", "fa", "tokens"])
-
-    texts = docs.withColumnRenamed("doc_id", "rep").join(reps, "rep")
-    sets = stored(texts.select("rep", "fa", "text").mapInArrow(whole, "rep long, fa long, tokens binary").dropDuplicates(["rep", "fa"]), "tokens")
-    in_groups = sets.join(grouped.select("fa", "gid"), "fa")
-    open_cells = cells.select("qg", "gg").distinct()
-    right = in_groups.join(open_cells.withColumnRenamed("gg", "gid"), "gid").select("qg", F.col("gid").alias("gg"), "rep", "tokens", F.lit(1).alias("side"))
-    left = sets.join(cells.where("qg <> gg"), "fa").select("qg", "gg", "rep", "tokens", F.lit(0).alias("side"))
-
-    def open_cell(table: pa.Table) -> pa.Table:
-        sides: tuple[list, list] = ([], [])
-        for r in table.to_pylist():
-            sides[r["side"]].append((r["rep"], np.frombuffer(r["tokens"], np.uint64)))
-        links = _link_cell(sides[0] or sides[1], sides[1], num, den) if sides[1] else []
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    links = left.unionByName(right).groupBy("qg", "gg").applyInArrow(open_cell, "a long, b long")
-    found = components(links)
-    reps_of = classes.join(found, classes.rep == found.node, "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
+            keep = [i for i, (a, b) in enumerate(zip(fa.tolist(), part.column("fa").to_pylist())) if a == b]  # a doc_id may have other texts
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(keep, pa.int64())), part.column("fa").take(pa.array(keep, pa.int64())), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["rep", "fa", "tokens"])
+
+    texts = _join(docs.withColumnRenamed("doc_id", "rep"), owned.select("rep", "fa"), "rep").select("rep", "fa", "text")
+    sets = stored(texts.mapInArrow(whole, "rep long, fa long, tokens binary").dropDuplicates(["rep", "fa"]), "tokens")
+
+    first = grouped = _grouped(owned.withColumn("weight", F.lit(1)), group)
+    links, before = None, owned.count()
+    for _ in range(ROUNDS):
+        found = _links_within(grouped, sets, num, den)
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        labelled = _join(first, label, first.rep == label.node, "left").select("rep", "fa", "n", "key", "gid", F.coalesce("component", "rep").alias("component"))
+        leaders = labelled.groupBy("key", "component").agg(F.min_by(F.struct("rep", "fa", "n"), "rep").alias("r"), F.count("*").alias("weight"))
+        several = leaders.groupBy("key").count().where("count > 1").select("key")
+        leaders = stored(_join(leaders, several, "key", "left_semi").select("r.rep", "r.fa", "r.n", "key", "weight"), "leaders")
+        n = leaders.count()
+        if 2 * n > before or n == 0:
+            break
+        before, grouped = n, _grouped(leaders, group)
+    sized = labelled.groupBy("component").agg(F.count("*").alias("many"))
+    ranked = _join(labelled, sized, "component").select("rep", "fa", "n", "gid", F.struct("many", "component").alias("rank"))
+    found = components(links.unionByName(_links_across(stored(ranked, "ranked"), postings, sets, num, den)))
+
+    reps_of = _join(classes, found, classes.rep == found.node, "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
     # A doc_id of several rows stands in several classes; its rows join through it.
     many = members.where("doc_id IS NOT NULL AND fa IS NOT NULL").join(reps_of, ["fa", "fb"]).select("doc_id", "component")
     twice = many.groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("doc_id")
-    again = many.join(twice, "doc_id").select(F.col("doc_id"), "component").distinct()
+    again = stored(many.join(twice, "doc_id").select("doc_id", "component").distinct(), "again")
     if not again.isEmpty():
         low = again.groupBy("doc_id").agg(F.min("component").alias("low"))
         merged = components(again.join(low, "doc_id").select(F.col("component").alias("a"), F.col("low").alias("b")))
         reps_of = reps_of.join(merged, reps_of.component == merged.node, "left").select("fa", "fb", F.coalesce(merged.component, reps_of.component).alias("component"))
-    return members.join(reps_of, ["fa", "fb"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return _join(members, reps_of, ["fa", "fb"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

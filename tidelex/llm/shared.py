@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from tidelex.storage import shared_folder, stored
 
 __all__ = ["bucket_bits", "components", "shared_folder", "shuffle_partitions", "stored"]
 
+IN_TASK = 300_000
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -19,16 +22,39 @@ def bucket_bits(spark: SparkSession, per_partition: int = 2) -> int:
     return max(4, (per_partition * shuffle_partitions(spark) - 1).bit_length())
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def _contract(batches):
+    """Edges of one task as stars: each node beside the smallest node it reaches here."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = sorted(x for x in root if find(x) != x)
+    for lo in range(0, len(nodes), 100_000):
+        part = nodes[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, most: int = 60, in_task: int = IN_TASK) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; component is the smallest node.
 
-    Alternates the large-star and small-star contractions; each round is two
-    aggregations by node (combined before the shuffle) and two joins. Rounds end when the
-    edges no longer change; the tables between rounds go to the shared folder.
+    Edges are dealt out evenly, ``in_task`` to a task, and each task contracts its own to stars; where one
+    task had all of them, these are the components. Otherwise large-star and small-star contractions
+    alternate: each round is two aggregations by node (combined before the shuffle) and two joins, and rounds end
+    when the edges no longer change. The tables between rounds go to the shared folder.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.where("a <> b").select("a", "b"), "edges")
+    tasks = -(-edges.count() // in_task)
+    now = stored(edges.repartition(max(1, tasks)).mapInArrow(_contract, "a long, b long"), "edges")
     seen = None
-    for _ in range(most):
+    for _ in range(most if tasks > 1 else 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -40,5 +66,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         seen = state
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
