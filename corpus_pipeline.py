@@ -37,7 +37,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """Of each component of near-duplicates the smallest doc_id stays, in one row. Rows without doc_id stay."""
     docs = docs.select(*COLUMNS)
     first = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
