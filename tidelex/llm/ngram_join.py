@@ -6,10 +6,11 @@ share at least k of their first tokens in hash order (``_prefix``), so only thos
 
 1. the first tokens of all sets are packed by hash range; a token that only one class has is dropped there,
    together with those that no class of a fitting size shares;
-2. classes with the same first shared token are similar: they form groups of at most GROUP classes. Each group is
-   opened by itself, and its links are joined to components. Where a token has several groups, one class for
-   each component and token forms groups again, as long as that merges many: so the groups of a large
-   cluster become one component without being compared with each other;
+2. classes whose most common shared token is the same are similar, and form groups of at most GROUP classes; where
+   it has more, those with the same first shared token come together. Each group is opened by itself, and its
+   links are joined to components. Where a key has several groups, one class for each component and key forms
+   groups again, as long as that merges many: so the groups of a large cluster become one component without
+   being compared with each other;
 3. the matrix has a row (token, group) for the union of each group's tokens, with the ranges of its sizes and of its
    components' ranks. A query class meets a group in so many tokens of the union; if that count is below k, no
    member can link (the bound). Only groups that reach it, and that hold a component of a larger rank than the
@@ -38,7 +39,7 @@ from tidelex.llm.shared import bucket_bits, components, stored
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
 EXTRA = 8
-GROUP = 512
+GROUP = 1024
 QUERIES = 1024
 HOT_KEYS = 100_000
 ROUNDS = 5
@@ -267,7 +268,12 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
     # Classes that may link at all, each by its smallest doc_id, and their whole sets.
     classes = members.where("fa IS NOT NULL AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     fewest = F.floor(F.ceil(F.col("n") * num / den) / EXTRA)  # what the smallest set that fits asks for
-    owned = postings.groupBy("fa", "n").agg(F.min("token").alias("key"), F.count("*").alias("met")).where(F.col("met") >= F.greatest(F.lit(1), fewest))
+    often = postings.groupBy("token").agg(F.count("*").alias("often"))
+    owned = _join(postings, often, "token").groupBy("fa", "n").agg(F.max(F.struct("often", "token")).alias("common"), F.min("token").alias("first"), F.count("*").alias("met"))
+    owned = owned.where(F.col("met") >= F.greatest(F.lit(1), fewest)).select("fa", "n", F.col("common.token").alias("common"), "first")
+    # A common token of many classes has several keys, by their first token, which similar classes share too.
+    spread = owned.groupBy("common").agg(F.ceil(F.count("*") / group).alias("keys"))
+    owned = _join(owned, spread, "common").withColumn("key", F.xxhash64("common", F.pmod(F.xxhash64("first"), "keys")))
     owned = stored(_join(owned, classes, "fa").select("rep", "fa", "n", "key").distinct(), "owned")
 
     def whole(batches):
