@@ -17,6 +17,8 @@ from tidelex.llm.substring_dedup import substring_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits a symbol from which a text is in none of the languages learned.
 MOST_COST = 8.0
+#: Near-duplicates share this much of their distinct word shingles.
+NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR = 5, 4, 5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest doc_id stays, in one row. Rows without doc_id stay."""
+    """Of each component of texts linked at 5-word Jaccard >= 0.8 the smallest doc_id stays, in one row. Rows without doc_id stay."""
     docs = docs.select(*COLUMNS)
-    first = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = ngram_components(docs, NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 

@@ -49,3 +49,29 @@ def test_empty_table(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_near_duplicates_are_those_of_five_words_and_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [[word() for _ in range(500)] for _ in range(12)]
+    for k in range(12):  # 10 to 12 scattered words changed, on either side of the threshold
+        copy = list(texts[k])
+        for at in range(20, 20 + 40 * (10 + k % 3), 40):
+            copy[at] = word()
+        texts.append(copy)
+    texts += [texts[0][:4], texts[0][:4], texts[1][:3] + ["other"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    up = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                up = [up[b] if u == up[a] else u for u in up]
+    want = {min(i for i, v in enumerate(up) if v == u) for u in up}
+    assert 12 < len(want) < 26
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()} == want
