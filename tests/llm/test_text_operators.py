@@ -16,7 +16,7 @@ from tidelex.llm import textkit as K
 from tidelex.llm.bpe import bpe_round_trip
 from tidelex.llm.bpe_stream import Decoder, Transducer, WordEncoder
 from tidelex.llm.language_id import CrossParser, automaton, language_id
-from tidelex.llm.licenses import TEMPLATES, align, license_scan, longest_rise, words_of
+from tidelex.llm.licenses import TEMPLATES, align, best_alignment, license_scan, longest_rise, regions, words_of
 from tidelex.llm.ngram_join import ngram_components
 from tidelex.llm.packing import pack
 from tidelex.llm.quality import quality_scores
@@ -303,3 +303,42 @@ def test_license_scan(spark):
         best = max(len(s) for s in picks if all(x < y for x, y in zip(s, s[1:])))
         k = longest_rise(v)
         assert k == sorted(k) and [v[i] for i in k] == sorted({v[i] for i in k}) and len(k) == best
+
+
+def test_license_given_twice(spark):
+    mit, apache = TEMPLATES["MIT"], TEMPLATES["Apache-2.0-line"]
+    words = mit.split()
+    edited = " ".join(w for k, w in enumerate(words) if k % 9) + " the software"
+    rows = [
+        (1, f"Intro. {TEMPLATES['MIT-line']} Body text here. {TEMPLATES['MIT-line']} The end."),
+        (2, f"first file {mit} some code {mit} the end of the software"),
+        (3, f"{apache} {apache}"),
+        (4, f"{edited} other words of any person {edited}"),
+        (5, f"{edited} in between {mit}"),
+        (6, " ".join(words[:60]) + " other words " + " ".join(words[:60])),
+        (7, (mit + " and more ") * 30),
+        (8, "to the use of any software the person and the copy is in all " * 40 + mit + " of the software to use any copy in all" * 40),
+    ]
+    got = {(r.doc_id, r.license): r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "MIT-line"), (2, "MIT"), (3, "Apache-2.0-line"), (4, "MIT"), (5, "MIT"), (7, "MIT"), (8, "MIT")}
+    m = len(words_of(mit))
+    assert all(got[k].coverage == 1.0 for k in got if k != (4, "MIT")) and 0.8 <= got[(4, "MIT")].coverage < 1
+    assert (got[(1, "MIT-line")].first_word, got[(1, "MIT-line")].last_word) == (1, 5)
+    assert (got[(2, "MIT")].first_word, got[(2, "MIT")].last_word) == (2, 1 + m)
+    assert got[(8, "MIT")].last_word - got[(8, "MIT")].first_word == m - 1
+
+
+def test_regions_hold_every_copy():
+    r = random.Random(9)
+    for _ in range(300):
+        b = [r.choice("abcdefgh") for _ in range(r.randrange(2, 12))]
+        a, starts = [], []
+        for _ in range(r.randrange(1, 4)):
+            a += [r.choice("abcdefghxyz") for _ in range(r.randrange(0, 8))]
+            starts.append(len(a))
+            a += b
+        a += [r.choice("abcdefghxyz") for _ in range(r.randrange(0, 8))]
+        found = regions(a, b, len(b))
+        assert {(s, s + len(b)) for s in starts} <= set(found)
+        assert all(len(align(a[s:e], b)) == len(b) for s, e in found if e - s == len(b))
+        assert len(best_alignment(a, b, len(b))) == len(b)

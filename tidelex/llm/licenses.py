@@ -4,6 +4,10 @@ Words that stand once in the text and once in the template are anchors; the long
 order on both sides is taken, and each gap between neighbours is aligned in the same way. Where a gap has no
 anchor, equal words at its two ends are taken. Coverage is the share of the template's words that are matched.
 
+A text that repeats a notice, or reuses its words elsewhere, has few anchors as a whole. So the template is also aligned
+with each region of the text that fits it best (``regions``), where words need be unique only there, and the best
+coverage is kept: of equal ones the whole text's, then the first region's.
+
 A template is aligned only where it can reach the coverage asked for: the text must hold that share of its
 words at all. That test is exact and is made on word hashes for whole batches.
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from tidelex.llm import textkit as K
 
 COVERAGE = 0.8
+#: Words of the text that a region passes over rather than leave out one word of the template.
+PASSED = 4
 #: Notices and texts of public licenses.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
@@ -90,6 +97,65 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def dense_runs(hits: list[int], a: list[str], b: list[str], need: int) -> list[tuple[int, int]]:
+    """Ranges of ``hits`` (positions in a of words of b) that hold all windows of (PASSED + 1) * len(b) words with ``need`` of b's words."""
+    wanted, have, met, out, low = Counter(b), Counter(), 0, [], 0
+    for high, p in enumerate(hits):
+        have[a[p]] += 1
+        met += have[a[p]] <= wanted[a[p]]
+        while p - hits[low] >= (PASSED + 1) * len(b):
+            w = a[hits[low]]
+            met -= have[w] <= wanted[w]
+            have[w] -= 1
+            low += 1
+        if met >= need:
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], high + 1)
+            else:
+                out.append((low, high + 1))
+    return out
+
+
+def regions(a: list[str], b: list[str], need: int) -> list[tuple[int, int]]:
+    """Ranges of a that hold at least ``need`` words of b in order, by position: for each place where a best fit of b
+    begins, the one of least cost. Leaving out a word of b costs PASSED, passing over a word of a costs 1; a fit that
+    costs more than leaving out all of b is none, so a range has at most (PASSED + 1) * len(b) words."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    at = {w: np.array(j) for w, j in places.items()}
+    hits = [i for i, w in enumerate(a) if w in at]
+    # A fit's cost, and below it how late it begins: the least number is the cheapest fit, of equal ones the shortest.
+    one, late = 1 << 32, (1 << 32) - 1
+    left_out = np.arange(len(b) + 1, dtype=np.int64) * PASSED * one
+    best: dict[int, tuple[int, int]] = {}
+    for low, high in dense_runs(hits, a, b, need):
+        before, fit = hits[low], left_out + (late - hits[low])
+        for p in hits[low:high]:
+            fit = np.minimum(fit + (p - before) * one, left_out + (late - p))
+            j = at[a[p]]
+            here = fit + one
+            here[0] = late - p - 1
+            here[j + 1] = np.minimum(here[j + 1], fit[j])
+            fit = np.minimum.accumulate(here - left_out) + left_out
+            before = p + 1
+            cost, start = int(fit[-1]) >> 32, late - (int(fit[-1]) & late)
+            if PASSED * len(b) + before - start - cost >= (PASSED + 1) * need:
+                best[start] = min(best.get(start, (cost, before)), (cost, before))
+    return [(start, best[start][1]) for start in sorted(best)]
+
+
+def best_alignment(a: list[str], b: list[str], need: int) -> list[tuple[int, int]]:
+    """Matched positions of the whole of a, or of the region of a where more of b is matched."""
+    out = align(a, b)
+    if len(out) < len(b):
+        for low, high in regions(a, b, need):
+            found = align(a[low:high], b)
+            if len(found) > len(out):
+                out = [(low + i, j) for i, j in found]
+    return out
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, n_matched, first_word, last_word) of ``docs(doc_id, text)``: a row for each
     template that covers at least ``coverage``; the last two are positions among the text's words."""
@@ -124,8 +190,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
                     words = words_of(part.column("text")[int(i)].as_py())
                     for k in np.flatnonzero(doubtful[i]):
                         name, template = wanted[k]
-                        found = align(words, template)
-                        if len(found) >= math.ceil(coverage * len(template) - 1e-9):
+                        need = math.ceil(coverage * len(template) - 1e-9)
+                        found = best_alignment(words, template, need)
+                        if len(found) >= need:
                             rows.append((part.column("doc_id")[int(i)].as_py(), name, len(found) / len(template), len(found), found[0][0], found[-1][0]))
                 if rows:
                     kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
