@@ -15,7 +15,7 @@ from tidelex.llm.shared import shared_folder
 from tidelex.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits a symbol from which a text is in none of the languages learned.
+#: Bits a symbol from which a text is in none of the languages learned; more for those whose own text costs more.
 MOST_COST = 8.0
 #: Near-duplicates share this much of their distinct word shingles.
 NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR = 5, 4, 5
@@ -24,8 +24,12 @@ NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR = 5, 4, 5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or that no learned language explains, go."""
     docs = docs.select(*COLUMNS)
-    out = language_id.identify(docs, language_id.fit(docs), COLUMNS)
-    return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("cost") <= MOST_COST)).select(*COLUMNS)
+    texts = language_id.fit(docs)
+    out = language_id.identify(docs, texts, COLUMNS)
+    most = F.lit(MOST_COST)
+    for name, cost in language_id.most_costs(texts, MOST_COST).items():
+        most = F.when(F.col("lang_pred") == name, cost).otherwise(most) if cost > MOST_COST else most
+    return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("cost") <= most)).select(*COLUMNS)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,3 +342,51 @@ def test_regions_hold_every_copy():
         assert {(s, s + len(b)) for s in starts} <= set(found)
         assert all(len(align(a[s:e], b)) == len(b) for s, e in found if e - s == len(b))
         assert len(best_alignment(a, b, len(b))) == len(b)
+
+
+def scripts(r):
+    """Texts of six made-up languages: Latin, two Cyrillic ones, Greek, Arabic, and one of 1,500 signs."""
+    ranges = {"la": range(97, 123), "cy": range(0x430, 0x450), "cz": range(0x430, 0x450), "gr": range(0x3B1, 0x3CA), "ar": range(0x627, 0x64A), "zh": range(0x4E00, 0x4E00 + 1500)}
+    ranges = {k: [chr(c) for c in v if chr(c).isalpha() and chr(c) == chr(c).lower()] for k, v in ranges.items()}
+    size = {k: 900 if k == "zh" else 150 for k in ranges}
+    words = {k: ["".join(r.choice(v) for _ in range(2 if k == "zh" else r.randrange(3, 8))) for _ in range(size[k])] for k, v in ranges.items()}
+    return words, lambda k, n: ("" if k == "zh" else " ").join(r.choice(words[k]) for _ in range(n))
+
+
+def test_language_id_of_many_scripts(spark):
+    r = random.Random(12)
+    words, text = scripts(r)
+    names = list(words)
+    rows = [(i, text(names[i % 6] if i % 7 else "la", r.randrange(60, 120)), names[i % 6] if i % 7 else "la", "s", 1) for i in range(420)]
+    rows += [(900, "".join(chr(0x10D0 + r.randrange(30)) for _ in range(200)), "la", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    said = {x.doc_id: (x.lang_pred, x.score) for x in language_id(df).collect()}
+    test = [(i, k) for i, _, k, *_ in rows[:420] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {k for _, k in test} == set(names) and all(said[i][0] == k and said[i][1] > 0 for i, k in test)
+    import corpus_pipeline
+
+    kept = {x.doc_id for x in corpus_pipeline.keep_known_languages(spark, df, "").collect()}
+    assert kept == set(range(420))  # not 900, whose letters no language has
+
+
+def test_cross_parsing_beyond_the_dense_table():
+    r = random.Random(13)
+    words, text = scripts(r)
+    train = [(k, text(k, 60)) for k in words]
+    parser = CrossParser(train)
+    assert parser.beyond > 100
+    texts = [text(k, n) for k in words for n in (3, 40)] + [f"{train[0][1][:99]} {train[5][1][:99]} \u10d0\u10d1 {train[1][1][:99]}", ""]
+    total, _, _ = parser.phrases(texts)
+    for k, (_, source) in enumerate(train):
+        source = f" {source} "
+        for i, t in enumerate(texts):
+            s, count = f" {t} " if t else "  ", 0
+            s = re.sub(" +", " ", s)
+            for lo in range(0, len(s), 256):
+                part, at = s[lo : lo + 256], 0
+                while at < len(part):
+                    n = 1
+                    while at + n < len(part) and part[at : at + n + 1] in source:
+                        n += 1
+                    at, count = at + n, count + 1
+            assert total[k, i] == count, (k, t)

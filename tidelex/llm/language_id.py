@@ -4,7 +4,8 @@ For each language a suffix automaton is built over a bounded sample of labelled
 cut greedily into longest matches with the automaton (the cross-parsing of Ziv and Merhav);
 phrases * log2(length of the language's text) / symbols is its cost, and the cheapest language wins.
 Texts are read as lower-case letters with single blanks between words, one blank at either end, in
-segments of 256 symbols that are parsed side by side; a phrase ends where its segment ends.
+segments of 256 symbols that are parsed side by side; a phrase ends where its segment ends. Every letter of the
+training text is a symbol: moves by the ``DENSE`` most frequent ones are in a dense table, all others in a sorted list.
 
 The model is fitted on whole documents in the order of a hash of doc_id, until ``sample_symbols``
 symbols a language (the last one is cut there). Prediction reads every text whole.
@@ -28,9 +29,11 @@ from tidelex.llm import textkit as K
 
 SAMPLE_SYMBOLS = 24_000
 SAMPLE_DOCUMENTS = 48
-LETTERS = 60
+DENSE = 60
 SEGMENT = 256
 UNKNOWN = "und"
+#: Times the cost of its own text that a text of a language may have at most (``most_costs``).
+HEADROOM = 1.3
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -42,6 +45,11 @@ def letters_only(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def letter_of(c: str) -> str:
+    """The letter that stands for c, as in the symbol table."""
+    return unicodedata.normalize("NFC", c.lower())[:1]
+
+
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton; state 0 is the start."""
     moves, link, length, last = [{}], [-1], [0], 0
@@ -82,18 +90,35 @@ class CrossParser:
             for c in text:
                 seen[c] = seen.get(c, 0) + 1
         seen.pop(" ", None)
-        alphabet = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS])
+        merged: dict[str, int] = {}
+        for c, n in seen.items():
+            merged[letter_of(c)] = merged.get(letter_of(c), 0) + n
+        ranked = sorted(merged, key=lambda c: (-merged[c], c))
+        alphabet, others = sorted(ranked[:DENSE]), sorted(ranked[DENSE:])
         code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 1}
         self.other = len(alphabet) + 2  # letters that no automaton has
         self.width = self.other + 1  # symbol 0 fills up segments
+        code |= {c: self.width + i for i, c in enumerate(others)}  # letters beyond the dense table
+        self.beyond = len(others)
+        code_of = {c: code[letter_of(c)] for c in seen} | {" ": 1}
         self.log_size = np.array([math.log2(max(2, len(t))) for _, t in texts])
         rows, bases, base = [], [], 0
-        for _, text in texts:
-            moves = automaton([code.get(c, self.other) for c in f" {text} "])
+        keys, moved = [], []
+        self.restart = np.zeros((len(texts), self.beyond), np.int64)
+        for k, (_, text) in enumerate(texts):
+            moves = automaton([code_of[c] for c in f" {text} "])
             table = np.full((len(moves), self.width), -1, np.int64)
+            self.restart[k] = base * self.width * 4 + 2
             for s, m in enumerate(moves):
                 for c, t in m.items():
-                    table[s, c] = (base + t) * self.width * 4
+                    to = (base + t) * self.width * 4
+                    if c < self.width:
+                        table[s, c] = to
+                        continue
+                    keys.append((base + s) * self.beyond + c - self.width)
+                    moved.append(to)
+                    if s == 0:
+                        self.restart[k, c - self.width] = to + 1
             table[:, self.other] = -1
             # A move is 4 times the next state's row, plus the phrases it ends. A symbol that doesn't fit ends the
             # phrase and begins the next one; one that the language has nowhere is a phrase itself.
@@ -102,19 +127,34 @@ class CrossParser:
             table = np.where(table >= 0, table, restart)
             table[0, ~known] = base * self.width * 4 + 1
             table[:, 0] = np.arange(base, base + len(moves)) * self.width * 4
-            rows.append(table.astype(np.int32))
+            rows.append(table.astype(np.int32 if (base + len(moves)) * self.width * 4 < 1 << 31 else np.int64))
             bases.append(base * self.width)
             base += len(moves)
         self.table = np.concatenate([r.ravel() for r in rows]) if rows else np.zeros(0, np.int32)
         self.starts = np.array(bases, np.int64)
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.keys, self.moved = np.array(keys, np.int64), np.array(moved, np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.moved = self.keys[order], self.moved[order]
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.width + self.beyond))
         for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
-                self.symbol[c] = code.get(unicodedata.normalize("NFC", ch.lower())[:1], self.other)
+                self.symbol[c] = code.get(letter_of(ch), self.other)
         self.symbol[self.symbol == 0] = 1
         self.letter = self.symbol > 1
 
+    def _beyond(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Moves by letters beyond the dense table, of each language's states."""
+        if not len(self.keys):
+            return np.zeros(state.shape, np.int64)
+        letters = symbols.astype(np.int64) - self.width
+        wanted = state // self.width * self.beyond + letters
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        starts = self.starts[:, None]
+        # At the start a letter that the language lacks ends no phrase before it.
+        restart = self.restart[:, letters] - ((state == starts) & (self.restart[:, letters] == starts * 4 + 2))
+        return np.where(self.keys[place] == wanted, self.moved[place], restart)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by language and text, symbols and letters by text."""
         n = len(texts)
@@ -140,10 +180,18 @@ class CrossParser:
         count = np.zeros((len(self.languages), len(at)), np.int32)
         state = np.repeat(self.starts[:, None], len(at), 1)
         padded = np.r_[symbols, np.zeros(SEGMENT, np.uint8)]
+        beyond = bool((symbols > self.other).any())
         alive = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # segments longer than t
         for t in range(int(length[0]) if len(length) else 0):
             m = int(alive[t])
-            move = self.table[state[:, :m] + padded[at[:m] + t]]
+            now = padded[at[:m] + t]
+            if beyond:
+                move = self.table[state[:, :m] + np.minimum(now, self.other)]
+                far = np.flatnonzero(now > self.other)
+                if len(far):
+                    move[:, far] = self._beyond(state[:, far], now[far])
+            else:
+                move = self.table[state[:, :m] + now]
             count[:, :m] += move & 3
             state[:, :m] = move >> 2
         count += state != self.starts[:, None]
@@ -194,6 +242,18 @@ def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents:
     return [(k, found[k]) for k in sorted(found, key=lambda k: (-sizes[k], k)) if found[k]]
 
 
+def most_costs(texts: list[tuple[str, str]], least: float) -> dict[str, float]:
+    """Cost a symbol up to which a text may be in each language: ``least``, or more where the language's own text costs more,
+    as one half of it parsed by the other shows (scripts of thousands of letters). A text of unknown letters stays above."""
+    out = {}
+    for name, text in texts:
+        half = len(text) // 2
+        total, sizes, _ = CrossParser([(name, text[:half])]).phrases([text[half:]])
+        own = float(total[0, 0]) * math.log2(max(2, half)) / int(sizes[0])
+        out[name] = max(least, min(HEADROOM * own, 0.97 * math.log2(max(2, len(text)))))
+    return out
+
+
 def identify(docs: DataFrame, texts: list[tuple[str, str]], columns: list[str]) -> DataFrame:
     """``columns`` of docs (text among them or not) with lang_pred, score and cost."""
     spark = docs.sparkSession
