@@ -79,3 +79,16 @@ def test_escapes(spark):
     row = spark.createDataFrame([("a<b>&\"c\"", "a+b%20c", "%zz+x", " \t x\n\n y ")], "h string, u string, v string, w string")
     got = row.select(T.html_escape(F.col("h")), T.url_decode(F.col("u")), T.url_decode(F.col("v")), T.collapse_whitespace(F.col("w")), T.highlight(F.lit("The apple & a cat"), ["apple", "the"])).first()
     assert list(got) == ["a&lt;b&gt;&amp;&quot;c&quot;", "a b c", "%zz x", "x y", "<mark>The</mark> <mark>apple</mark> &amp; <mark>a</mark> cat"]
+
+
+def test_sorted_postings_of_every_word(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(7, "Zebra apple's zoo"), (3, "apple Banana b"), (5, "zoo zoo 9 a"), (9, None), (1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in sorted(rows):
+        for w in set(model_tokens(t or "")):
+            want.setdefault(w, []).append(i)
+    got = {r.term: r.docs for r in entry.queries()["postings_sorted_all"](spark, str(tmp_path)).collect()}
+    assert got == want and {"zebra", "banana", "b"} < set(got)

@@ -295,6 +295,12 @@ def postings_sorted(spark, d):
     return postings(spark, d).where("term < 'b'").groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
+@query(f"WITH {POST} SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM post GROUP BY term")
+def postings_sorted_all(spark, d):
+    """The sorted postings of every word; ``postings_sorted`` and its SQL have those below 'b' alone."""
+    return postings(spark, d).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+
+
 @query(f"WITH {TOK} SELECT doc_id, len(ws)::INT AS length FROM tok")
 def doc_length(spark, d):
     return tokens(documents(spark, d)).select("doc_id", F.size("tokens").alias("length"))
