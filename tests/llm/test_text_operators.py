@@ -88,6 +88,28 @@ def test_substring_dedup(docs):
     assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] for x in want) > 500
     few = [tuple(r) for r in substring_dedup(docs, map_bits=15).collect()]  # a full map changes nothing
     assert sorted(few, key=str) == sorted([x[:4] for x in want], key=str)
+    twice = [tuple(r) for r in substring_dedup(docs, range_bytes=100, fan_out=8).collect()]  # many ranges, in two steps
+    assert sorted(twice, key=str) == sorted([x[:4] for x in want], key=str)
+
+
+def test_substring_dedup_of_one_doc_id_with_two_texts(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(1, word(1)), (5, word(1)), (5, word(2)), (7, word(2)), (7, word(3)), (9, word(4)), (9, word(4))]
+    for parts in (1, 4):  # in one slice or in several
+        got = Counter(map(tuple, substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).select("doc_id", "n_removed").collect()))
+        assert got == {(1, 0): 1, (5, 80): 1, (5, 0): 1, (7, 80): 1, (7, 0): 1, (9, 0): 2}
+
+
+def test_packed_windows_are_read_back():
+    from tidelex.llm import substring_dedup as S
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 5000, np.uint64)
+    doc, place = rng.integers(-9, 9, 5000) << 40, rng.integers(0, 1 << 20, 5000)
+    for bits in (8, 10, 17):
+        rows = [dict(zip([x.split()[0] for x in S.PACKED.split(", ")], r)) for r in S._of_ranges(h, doc, place, bits)]
+        found = [np.concatenate(x) for x in zip(*(S._of_range(r, bits) for r in rows))]
+        assert Counter(zip(*(x.tolist() for x in found))) == Counter(zip(h.tolist(), doc.tolist(), place.tolist()))
 
 
 def shingles(text):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import bucket_bits, components, stored
+from tidelex.llm.shared import bits_for, components, shuffle_partitions, stored, text_bytes
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelex.storage import shared_folder, stored
 
-__all__ = ["bucket_bits", "components", "shared_folder", "shuffle_partitions", "stored"]
+__all__ = ["bits_for", "components", "shared_folder", "shuffle_partitions", "stored", "text_bytes"]
 
 IN_TASK = 300_000
 
@@ -17,9 +17,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_bits(spark: SparkSession, per_partition: int = 2) -> int:
-    """Bits of a power of two of buckets, some for each shuffle partition."""
-    return max(4, (per_partition * shuffle_partitions(spark) - 1).bit_length())
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: one pass over that column."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bits_for(amount: int, each: int, least: int = 4) -> int:
+    """Bits of the smallest power of two of buckets that leaves at most ``each`` bytes of ``amount`` to one."""
+    return max(least, (-(-amount // each) - 1).bit_length() if amount else 0)
 
 
 def _contract(batches):

@@ -149,3 +149,14 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def planes(values: np.ndarray, kind) -> bytes:
+    """Numbers as bytes, all lowest bytes first: the planes of small numbers' high bytes are zeros, which a shuffle compresses away."""
+    values = np.ascontiguousarray(values, kind)
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
