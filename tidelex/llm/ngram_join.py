@@ -4,9 +4,10 @@ A text's set holds its distinct 3-word shingles (64-bit hashes, A-Z lowered). Te
 class; classes link at Jaccard >= 0.9, and components of the links are returned. Any two linked sets
 share at least k of their first tokens in hash order (``_prefix``), so only those tokens are indexed:
 
-1. the first tokens of all sets are packed by hash range; a token that only one class has is dropped there,
-   together with those that no class of a fitting size shares;
-2. classes whose most common shared token is the same are similar, and form groups of at most GROUP classes; where
+1. the first tokens of all sets are packed by hash range, as many ranges as the texts' bytes ask for; a token that only
+   one class has is dropped there, together with those that no class of a fitting size shares. What shares a
+   token within one slice of texts is known before that and goes past the ranges;
+2. classes whose most common shared token is the same are similar, and form groups of at most GROUP classes and GROUP_TOKENS tokens; where
    it has more, those with the same first shared token come together. Each group is opened by itself, and its
    links are joined to components. Where a key has several groups, one class for each component and key forms
    groups again, as long as that merges many: so the groups of a large cluster become one component without
@@ -19,7 +20,8 @@ share at least k of their first tokens in hash order (``_prefix``), so only thos
    no comparison; what leaves is a spanning forest of the links found.
 
 Hot tokens: copies are one class before anything is paired, a cluster that has become one component
-asks nothing, and queries of one group are dealt out in blocks. Nothing is capped.
+asks nothing, and queries of one group are dealt out in blocks. Nothing is capped. Sets are compared by the 64-bit
+hashes of their tokens, classes by two such sums: exact but for collisions of hashes, which no word is looked at for.
 
 Edge cases: null and empty texts have no shingle and link with nothing (each its own component); 1 or
 2 words are one shingle. Rows with null doc_id are returned with null component_id. Rows with one doc_id
@@ -41,7 +43,8 @@ NUMERATOR, DENOMINATOR = 9, 10
 EXTRA = 8
 GROUP = 1024
 QUERIES = 1024
-HOT_KEYS = 100_000
+GROUP_TOKENS = 2 << 20
+RANGE, TASK = 32 << 20, 64 << 20
 ROUNDS = 5
 
 
@@ -108,27 +111,38 @@ def class_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _pack(batches, size: int, bits: int, num: int, den: int):
-    """First tokens by hash range: tokens, fingerprint and size of their set. Copies within a slice go once."""
+    """First tokens by hash range: tokens, fingerprint and size of their set. What shares a token within a slice is
+    known to share it and goes by itself, at a negative range; for the others' sake the range gets the smallest and
+    largest of those in each class of sizes that fit one another. So a hot token has few entries for each slice."""
     for part, sets, bounds in _each(batches, size):
         n = np.diff(bounds)
         fa, _ = _fingerprints(sets, bounds)
         _, once = np.unique(fa, return_index=True)
         once = once[n[once] > 0]
         many = np.minimum(n[once], _prefix(n[once], num, den))
-        take = np.repeat(bounds[once], many) + K.ranges(many)
-        token, owner = sets[take], np.repeat(once, many)
+        token, fa, n, fits = _fitting(sets[np.repeat(bounds[once], many) + K.ranges(many)], np.repeat(fa[once], many), np.repeat(n[once], many), num, den)
+        if not len(token):
+            continue
+        sizes = np.floor(np.log(n) / np.log(den / num) * (1 + 1e-9)) if den > num else n
+        first = _new(token) | _new(sizes) | _new(fits)
+        sent = ~fits | first | np.r_[first[1:], True]
         key = (K.mix(token) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        token, owner, key = token[order], owner[order], key[order]
-        cuts = np.searchsorted(key, np.arange((1 << bits) + 1))
-        rows = []
-        for k in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[k], cuts[k + 1]
-            first = np.flatnonzero(_new(owner[a:b]))
-            who = owner[a:b][first]
-            rows.append((int(k), token[a:b].tobytes(), fa[who].tobytes(), n[who].astype(np.uint32).tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=["range", "tokens", "sets", "sizes", "counts"])
+        rows = _rows(key[sent], token[sent], fa[sent], n[sent])
+        if fits.any():
+            rows += _rows(np.full(int(fits.sum()), -1 - int(K.mix(token[:1])[0] >> np.uint64(44))), token[fits], fa[fits], n[fits])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=["range", "tokens", "sets", "sizes", "counts"])
+
+
+def _rows(key: np.ndarray, token: np.ndarray, fa: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """One row a key; a set's tokens stand together."""
+    order = np.lexsort((fa, key))
+    key, token, fa, n = key[order], token[order], fa[order], n[order]
+    cuts = np.r_[np.flatnonzero(_new(key)), len(key)]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        first = np.flatnonzero(_new(fa[a:b]))
+        rows.append((int(key[a]), token[a:b].tobytes(), fa[a:b][first].tobytes(), K.planes(n[a:b][first], np.uint32), K.planes(np.diff(np.r_[first, b - a]), np.uint32)))
+    return rows
 
 
 def _new(x: np.ndarray) -> np.ndarray:
@@ -137,16 +151,8 @@ def _new(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one hash range: (token, set, size) of tokens that two sets of fitting sizes have."""
-    token, fa, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for batch in table.to_batches():
-        for r in batch.to_pylist():
-            c = np.frombuffer(r["counts"], np.uint32)
-            token.append(np.frombuffer(r["tokens"], np.uint64))
-            fa.append(np.repeat(np.frombuffer(r["sets"], np.int64), c))
-            n.append(np.repeat(np.frombuffer(r["sizes"], np.uint32).astype(np.int64), c))
-    token, fa, n = np.concatenate(token), np.concatenate(fa), np.concatenate(n)
+def _fitting(token: np.ndarray, fa: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Distinct (token, set, size) by token and size, and whether another set of a fitting size has the token."""
     order = np.lexsort((fa, n, token))
     token, fa, n = token[order], fa[order], n[order]
     once = _new(token) | _new(fa)
@@ -156,6 +162,21 @@ def _shared(table: pa.Table, num: int, den: int) -> pa.Table:
         near = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
         fits[1:] |= near
         fits[:-1] |= near
+    return token, fa, n, fits
+
+
+def _shared(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one hash range: (token, set, size) of tokens that two sets of fitting sizes have. Rows of negative ranges do."""
+    token, fa, n, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for batch in table.to_batches():
+        for r in batch.to_pylist():
+            c = K.from_planes(r["counts"], np.uint32)
+            token.append(np.frombuffer(r["tokens"], np.uint64))
+            fa.append(np.repeat(np.frombuffer(r["sets"], np.int64), c))
+            n.append(np.repeat(K.from_planes(r["sizes"], np.uint32).astype(np.int64), c))
+            known = r["range"] < 0
+    token, fa, n, fits = _fitting(np.concatenate(token), np.concatenate(fa), np.concatenate(n), num, den)
+    fits |= known
     return pa.table({"token": token[fits].view(np.int64), "fa": fa[fits], "n": n[fits]})
 
 
@@ -194,20 +215,22 @@ def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
 
 
 def _grouped(classes: DataFrame, group: int) -> DataFrame:
-    """classes(rep, fa, n, key, weight) with ``gid``: at most ``group`` of one key, those of large weight first. Keys
-    of many classes are dealt out by a hash before they are sorted."""
-    most = max(group, classes.count() // HOT_KEYS + 1)  # so at most HOT_KEYS keys are hotter: that bounds the broadcast
-    hot = classes.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
-    dealt = classes.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
+    """classes(rep, fa, n, key, weight) with ``gid``: at most ``group`` of one key and, but for a single set, GROUP_TOKENS
+    tokens, those of large weight first. Keys of more classes are dealt out by a hash before they are sorted."""
+    hot = classes.groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / group).alias("parts"))
+    dealt = _join(classes, hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
 
     def number(batches):
-        was, k = None, 0
+        was, turn, k, tokens = None, 0, 0, 0
         for batch in batches:
             places = []
-            for here in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist()):
-                k = k + 1 if here == was else 0
-                was = here
-                places.append((here[0], here[1] * 1_000_003 + k // group))
+            for *here, n in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "n"))):
+                if here != was:
+                    was, turn, k, tokens = here, 0, 0, 0
+                elif k == group or tokens + n > GROUP_TOKENS:
+                    turn, k, tokens = turn + 1, 0, 0
+                k, tokens = k + 1, tokens + n
+                places.append((here[0], here[1] * 1_000_003 + turn))
             keys, turns = (np.array(c, np.int64).view(np.uint64) for c in zip(*places)) if places else (np.zeros(0, np.uint64),) * 2
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "fa", "n", "key")), pa.array(K.mix(keys ^ K.mix(turns + np.uint64(1))).view(np.int64))], names=["rep", "fa", "n", "key", "gid"])
 
@@ -242,8 +265,8 @@ def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num:
     met = _join(asking.alias("q"), matrix.alias("g"), "token").where(fits)
     asked = F.greatest(F.lit(1), F.floor(F.least("n", "low") / EXTRA))
     cells = met.groupBy("rep", "fa", "n", "gid").agg(F.count("*").alias("met"), F.min("low").alias("low")).where(F.col("met") >= asked)
-    cells = stored(cells.select("rep", "fa", "gid"), "cells")
-    blocks = cells.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    cells = stored(cells.select("rep", "fa", "n", "gid"), "cells")
+    blocks = cells.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("blocks"))
     members = _join(grouped, blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "fa", F.lit(1).alias("side"))
     queries = _join(cells, blocks, "gid").select("gid", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", "fa", F.lit(0).alias("side"))
     opened = _join(members.unionByName(queries), sets, ["rep", "fa"]).select("gid", "block", "side", "rep", "tokens")
@@ -257,13 +280,15 @@ def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num:
     return stored(opened.groupBy("gid", "block").applyInArrow(link, "a long, b long"), "links")
 
 
-def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP, range_bytes: int = RANGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``; sets link at Jaccard >= num/den."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = bucket_bits(docs.sparkSession)
+    amount = text_bytes(docs)
+    bits, tasks = bits_for(amount, range_bytes), max(shuffle_partitions(docs.sparkSession), -(-amount // TASK))
     members = stored(class_table(docs, size), "sets")
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: _pack(it, size, bits, num, den), "range int, tokens binary, sets binary, sizes binary, counts binary")
-    postings = stored(packed.groupBy("range").applyInArrow(lambda t: _shared(t, num, den), "token long, fa long, n long"), "postings")
+    shared = packed.repartition(tasks, "range").groupBy("range").applyInArrow(lambda t: _shared(t, num, den), "token long, fa long, n long")
+    postings = stored(shared.distinct(), "postings")
 
     # Classes that may link at all, each by its smallest doc_id, and their whole sets.
     classes = members.where("fa IS NOT NULL AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
