@@ -253,7 +253,14 @@ def test_packing(spark, docs):
     for r in rows:
         assert r.offset == fill[r.sequence_id] and r.length == len(r.ids) and zlib.crc32(struct.pack(f"<{r.length}I", *r.ids)) == r.ids_crc32
         fill[r.sequence_id] += r.length
-    assert all(n == 1024 or n & (n - 1) == 0 and n <= 1024 for n in fill.values())  # so nothing is padded
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r.sequence_id, []).append((r.bin_class, r.length))
+    for found in kinds.values():  # k pieces of class k, or a sequence of the partition's end
+        k = found[0][0]
+        assert all(c == k for c, _ in found) and (k == 0 or len(found) == k and all(1024 / (k + 1) < n <= 1024 / k for _, n in found))
+    open_ends = [s for s, found in kinds.items() if found[0][0] == 0 and fill[s] < 1024]
+    assert len(open_ends) <= 3 and len({s >> 33 for s in open_ends}) == len(open_ends)  # one for each of three partitions
     whole = Counter()
     pieces = {}
     for r in rows:
@@ -273,15 +280,46 @@ def test_packing(spark, docs):
     odd = ["<|endoftext|> a", "a" * 30_000, " " * 30_000, "x \n\n y", "🙂é"]
     from tidelex.llm.packing import tokenizer
 
+    odd += [("word \n\n  and  " * 9000) + "<|endoftext|>" + "x's 12" * 20_000]  # of several pieces
     assert all(tokenizer(path).ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids for t in odd)
 
 
+def test_packing_cuts_only_where_it_is_worth_it():
+    from tidelex.llm.packing import PIECES, WORTH, cut, cut_of, unused
+
+    for rest in range(1, 1024):
+        found = cut_of(rest, 1024)
+        assert sum(found) == rest and 1 <= len(found) <= PIECES
+        left = sum(unused(x, 1024) for x in found)
+        assert left + WORTH * (len(found) - 1) <= unused(rest, 1024)
+        two = min((unused(k, 1024) + unused(rest - k, 1024) for k in {1024 // k for k in range(2, 40)} if k < rest), default=math.inf)
+        assert left + WORTH * (len(found) - 1) <= two + WORTH
+    assert cut(3 * 1024 + 512, 1024) == [1024, 1024, 1024, 512] and cut(1024, 1024) == [1024] and cut(1, 1024) == [1]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_code_point(name):
+    from tokenizers import Tokenizer
+
+    from tidelex.llm.packing import LibraryIds
+
+    slow = Tokenizer.from_file(vocabulary(name))
+    slow.no_truncation()
+    slow.no_padding()
+    own = WordEncoder(vocabulary(name)) if name.startswith("word") else LibraryIds(vocabulary(name))
+    encode = (lambda t: b"".join(own.stream(t))) if name.startswith("word") else (lambda t: own.ids(t).tobytes())
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for lo in range(0, len(points), 8000):
+        text = "x ".join(map(chr, points[lo : lo + 8000]))
+        assert encode(text) == np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(points[lo])
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
     path = vocabulary("word_bpe_49k.json")
     slow = Tokenizer.from_file(path)
-    odd = ["don't I'll <|endoftext|> x<|startoftext|>Y", "ΣΑΣ İstanbul ﬁ 12345 ²½ á \x1c\x85ñ", "th" * 900, "ererstion" * 300, "<|ENDOFTEXT|> <|end", "_a_b", "퟿"]
+    odd = ["don't I'll <|endoftext|> x<|startoftext|>Y", "ΣΑΣ İstanbul ﬁ 12345 ²½ á \x1c\x85ñ", "th" * 900, "ererstion" * 300, "<|ENDOFTEXT|> <|end", "_a_b", "퟿", "no space" * 30_000, "à b\n" * 40_000 + "<|endoftext|>\u0308 e"]
     more = spark.createDataFrame([(10_000 + k, t, None, None, 1) for k, t in enumerate(odd)], SCHEMA)
     got = bpe_round_trip(docs.select("doc_id", "text").unionByName(more.select("doc_id", "text")), path).collect()
     want = Counter()
@@ -303,8 +341,8 @@ def test_transducer_is_incremental_and_bounded():
         assert most <= 3 * e.merges.lookahead + e.merges.longest
         whole = Transducer(e.merges)
         assert out + t.finish() == whole.push(word) + whole.finish()
-    d = Decoder(e.merges)
-    ids = [i for w in ("naïve", "🙂") for i in memoryview(e.encode_word(w)[0]).cast("I").tolist()]
+    d = Decoder(e.merges.name, suffix=e.merges.suffix)
+    ids = [i for w in ("naïve", "🙂") for i in memoryview(e.encode_word(w)).cast("I").tolist()]
     assert "".join(d.push([i]) for i in ids) + d.finish() == "naïve 🙂 "
 
 

@@ -1,5 +1,8 @@
 """BPE encoding and decoding of whole texts with the streaming transducer of bpe_stream.py.
 
+Ids leave the transducer a piece of the text after another and go on into the digest and into the decoder, which
+turns the same ids back to text as it receives them: neither all ids nor the decoded text are held.
+
 Edge cases: null text is empty and has no ids; both digests are then those of no bytes. The names of
 added tokens inside a text are that token, as the library reads them by default. Repeated rows and ties
 need nothing: each row stands alone.
@@ -32,17 +35,24 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer)
         for batch in batches:
             for part in K.slices(batch, "text"):
                 n, ids_sha, text_sha, rest = [], [], [], []
                 for text in part.column("text").to_pylist():
-                    ids, decoded = encode(text or "")
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    decoder, count, ids_hash, text_hash, held = own.decoder(), 0, hashlib.sha256(), hashlib.sha256(), []
+                    for ids in own.stream(text or ""):
+                        decoded = decoder.push(memoryview(ids).cast("I"))
+                        count += len(ids) // 4
+                        ids_hash.update(ids)
+                        text_hash.update(decoded.encode())
+                        if with_ids:
+                            held.append((ids, decoded))
+                    n.append(count)
+                    ids_sha.append(ids_hash.hexdigest())
+                    text_sha.append(text_hash.hexdigest())
                     if with_ids:
-                        rest.append((memoryview(ids).cast("I").tolist(), decoded))
+                        rest.append((memoryview(b"".join(x for x, _ in held)).cast("I").tolist(), "".join(x for _, x in held)))
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
                     columns += [pa.array([x[0] for x in rest], pa.list_(pa.int64())), pa.array([x[1] for x in rest], pa.string())]

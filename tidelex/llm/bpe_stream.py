@@ -17,11 +17,9 @@ import json
 import struct
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import regex
-
-SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-
+from tidelex.llm.pretokens import Memory, around, has_any, newer, pieces, splitter
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 characters
@@ -202,16 +200,15 @@ class Decoder:
     """Token ids in, text out; bytes of an unfinished character wait. ``joined``: token names with blanks
     between them, as a library without a decoder prints them."""
 
-    def __init__(self, merges: MergeList, special: dict[int, str] | None = None, joined: bool = False):
-        self.names = merges.name | special if special else merges.name
-        self.special, self.suffix, self.joined = special or {}, merges.suffix, joined
+    def __init__(self, names: dict[int, str], special: dict[int, str] | None = None, suffix: str = "", joined: bool = False):
+        self.names, self.special, self.suffix, self.joined = names, special or {}, suffix, joined
         self._utf8 = None if joined else codecs.getincrementaldecoder("utf-8")("replace")
         self._any = False
 
     def push(self, ids) -> str:
         if self.joined:
-            text = " ".join([self.names[i] for i in ids])
-            text, self._any = (" " if self._any and ids else "") + text, self._any or bool(ids)
+            text = " ".join(map(self.names.__getitem__, ids))
+            text, self._any = (" " if self._any and text else "") + text, self._any or bool(text)
             return text
         out = []
         for i in ids:
@@ -231,66 +228,50 @@ class Decoder:
 
 
 class WordEncoder:
-    """Normalises and splits a text as its tokenizer file says, and encodes each pre-token, with a memory
-    of bounded size for short ones."""
-
-    MOST, SHORT = 400_000, 48
+    """Normalises and splits a text as its tokenizer file says, a piece at a time, and encodes each pre-token, with a
+    memory of bounded size for short ones. Beside the text itself nothing held grows with it."""
 
     def __init__(self, path: str):
         file = json.load(open(path, encoding="utf-8"))
         model = file["model"]
         steps = [x["type"] for x in file["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"]:
-            raise ValueError(f"{path}: not a word-end BPE file")
+        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or file.get("decoder"):
+            raise ValueError(f"{path}: not a word-end BPE file without a decoder")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.special = {a["content"]: a["id"] for a in file["added_tokens"]}
         vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
         self.merges = MergeList(vocab, merges, model["end_of_word_suffix"])
-        pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.split = regex.compile(pattern).findall
-        self.at_special = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
-        self.special_found = regex.compile("|".join(map(regex.escape, self.special))).findall if self.special else None
+        self.split = splitter(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.transducer = Transducer(self.merges)
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self._table = {b: s for b, s in enumerate(byte_symbols())}
+        self.known = Memory(self.encode_word)
+        self.names = self.merges.name | {i: t for t, i in self.special.items()}
+        from tokenizers import Tokenizer
 
-        encoder = self
-
-        class Known(dict):
-            def __missing__(self, word):
-                made = encoder.encode_word(word)
-                if len(word) <= WordEncoder.SHORT:
-                    if len(self) >= WordEncoder.MOST:
-                        self.clear()
-                    self[word] = made
-                return made
-
-        self.known = Known()
+        self.has_newer, self.normalize = has_any(newer()), Tokenizer.from_file(path).normalizer.normalize_str
 
     def pre_tokens(self, text: str) -> list[str]:
+        if self.has_newer(text):
+            return self.split(self.normalize(text))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # the library lowers letter by letter: no final sigma
+            text = text.replace("\u03a3", "\u03c3")  # the library lowers letter by letter: no final sigma
         return self.split(text.lower())
 
-    def encode_word(self, word: str) -> tuple[bytes, str]:
-        """Ids as little-endian bytes, and their names with blanks between."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids as little-endian bytes."""
         symbols = word.encode().decode("latin-1").translate(self._table)
         ids = self.transducer.push(symbols) + self.transducer.finish()
-        return struct.pack(f"<{len(ids)}I", *ids), Decoder(self.merges, joined=True).push(ids)
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian bytes, and the decoded text as the library gives it."""
-        parts = self.at_special(text) if self.at_special and "<" in text else [text]
-        found = self.special_found(text) if len(parts) > 1 else []
-        known = self.known
-        ids, names = [], []
-        for k, part in enumerate(parts):
-            for word in self.pre_tokens(part):
-                i, n = known[word]
-                ids.append(i)
-                names.append(n)
-            if k < len(found):
-                ids.append(self.special[found[k]].to_bytes(4, "little"))
-                names.append(found[k])
-        return b"".join(ids), " ".join(names)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian bytes, a piece of the text after another."""
+        word = self.known.__getitem__
+        for part, token in around(text, self.special):
+            for piece in pieces(part):
+                yield b"".join(map(word, self.pre_tokens(piece)))
+            if token is not None:
+                yield token.to_bytes(4, "little")
+
+    def decoder(self) -> Decoder:
+        return Decoder(self.names, joined=True)

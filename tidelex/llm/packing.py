@@ -1,20 +1,24 @@
 """Harmonic packing: pieces of reciprocal-capacity classes, a fixed count of them in each bin.
 
-A text's ids, then one end id, are cut into full sequences of ``capacity`` and a rest. Harmonic packing puts a
-piece of size in (capacity/(k+1), capacity/k] in class k, whose bins hold k pieces. As texts
-may be cut freely, the rest is cut where that wastes nothing: into the powers of two that sum up to it,
-largest first, so that each piece fills its share capacity/k of a bin exactly. Each partition
-fills the bins of its classes on its own; what is left over in a class at the partition's end is closed in
-groups of a power of two pieces, whose sequences have a power of two ids and need no padding either.
-
-``sequence_id`` is the partition's number * 2**33 + a count. Edge cases: null and empty texts are the end id
-alone; null doc_ids and repeated rows are packed like any other row; an empty table has no pieces.
+A text's ids, then one end id, are cut into full sequences of ``capacity`` and a rest. A piece of a size in
+(capacity/(k+1), capacity/k] is of class k, whose bins hold k pieces. As texts may be cut freely, a rest is cut into two or
+three pieces where each cut leaves at least ``WORTH`` ids less of padding in their shares of their bins (``cut_of``); otherwise it stays whole.
+Each partition fills the bins of its classes on its own. At its end the pieces of unfinished bins, fewer than k of class k,
+are laid one after another and cut where a sequence is full, so that one sequence of a partition at most is left open.
+
+``sequence_id`` is the partition's number * 2**33 + a count; ``bin_class`` is k, or 0 for sequences of the end. Edge
+cases: null and empty texts are the end id alone; null doc_ids and repeated rows are packed like any other row; an empty table
+has no pieces.
+
+Ids are those of the ``tokenizers`` library: it encodes each pre-token, and short ones are remembered, so that a word is encoded
+once. Where the file's pre-tokenizer isn't the byte-level one, the library encodes each text as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,108 +27,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.bpe_stream import BYTE_OF
+from tidelex.llm.pretokens import Memory, around, pieces, splitter
 
 CAPACITY = 1024
 END_ID = 0
-#: The pre-token pattern of byte-level tokenizer files that don't carry their own (a fixed value).
+WORTH = 6
+PIECES = 3
+#: A fixed value: the pattern of the library's byte-level pre-tokenizer, which files name and don't contain.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_OPEN: dict = {}
 
-
-class ByteTokenizer:
-    """Ids of a byte-level ``tokenizers`` file. Its merges are run by tiktoken's engine, which gives the
-    same ids several times as fast where merge order is id order; any other file goes to ``tokenizers``."""
+class LibraryIds:
+    """Ids of a ``tokenizers`` file for whole texts, as little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.fast = None
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         file = json.load(open(path, encoding="utf-8"))
-        model, pre = file["model"], file.get("pre_tokenizer") or {}
-        special = {a["content"]: a["id"] for a in file.get("added_tokens", [])}
-        vocab = {t: i for t, i in model.get("vocab", {}).items() if t not in special}
-        plain = model["type"] == "BPE" and not file.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        plain = plain and not any(model.get(k) for k in ("end_of_word_suffix", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
-        plain = plain and all(not (a.get("lstrip") or a.get("rstrip") or a.get("single_word")) for a in file.get("added_tokens", []))
-        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])] if plain else []
-        if plain and made == sorted(made) and all(c in BYTE_OF for t in vocab for c in t):
-            import tiktoken
-
-            ranks = {bytes(BYTE_OF[c] for c in t): i for t, i in vocab.items()}
-            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.special = set(special)
+        pre = file.get("pre_tokenizer") or {}
+        added = file.get("added_tokens", [])
+        by_words = not file.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_words = by_words and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
+        if self.by_words:
+            self.special = {a["content"]: a["id"] for a in added}
+            self.split, self.known = splitter(PATTERN), Memory(self._encode)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _long_run(text):
-            return np.array(self.fast.encode(text, allowed_special=self.special, disallowed_special=()), np.uint32)
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not self.by_words:
+            return np.frombuffer(self._encode(text), "<u4")
+        out, word = [], self.known.__getitem__
+        for part, token in around(text, self.special):
+            for piece in pieces(part):
+                out.append(b"".join(map(word, self.split(piece))))
+            if token is not None:
+                out.append(token.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(out), "<u4")
+
+
+@cache
+def tokenizer(path: str) -> LibraryIds:
+    """One for each Python process and file."""
+    return LibraryIds(path)
+
 
+def class_of(size: int, capacity: int) -> int:
+    return capacity // size
 
-def _long_run(text: str) -> bool:
-    """Whether a word is so long that the fast engine's merging would take quadratic time."""
-    if len(text) < 20_000:
-        return False
-    data = np.frombuffer(text.encode(), np.uint8)
-    blank = np.flatnonzero((data == 32) | (data == 10))
-    return bool(np.max(np.diff(np.r_[-1, blank, len(data)])) > 10_000 or " " * 10_000 in text)
 
+def unused(size: int, capacity: int) -> float:
+    """What a piece leaves of its share of a bin."""
+    return capacity / class_of(size, capacity) - size
 
-def tokenizer(path: str) -> ByteTokenizer:
-    if path not in _OPEN:
-        _OPEN[path] = ByteTokenizer(path)
-    return _OPEN[path]
+
+@cache
+def best_cut(rest: int, capacity: int, many: int) -> tuple[float, tuple[int, ...]]:
+    """Least unused ids, and the cut, of at most ``many`` pieces of which all but one fill their shares."""
+    best = (unused(rest, capacity), (rest,))
+    for share in {capacity // k for k in range(2, 40)} if many > 1 else ():
+        if share < rest:
+            left, others = best_cut(rest - share, capacity, many - 1)
+            best = min(best, (left + unused(share, capacity), (share, *others)))
+    return best
+
+
+@cache
+def cut_of(rest: int, capacity: int) -> tuple[int, ...]:
+    """The rest's pieces: each beyond the first must leave WORTH ids less unused."""
+    tried = [best_cut(rest, capacity, m) for m in range(1, PIECES + 1)]
+    return min(tried, key=lambda x: (x[0] + WORTH * (len(x[1]) - 1), len(x[1])))[1]
 
 
 def cut(size: int, capacity: int) -> list[int]:
-    """Full sequences first, then the powers of two of the rest, largest first."""
+    """Full sequences first, then the rest's pieces."""
     rest = size % capacity
-    return [capacity] * (size // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return [capacity] * (size // capacity) + list(cut_of(rest, capacity) if rest else ())
 
 
 class Bins:
-    """The open bin of each class in one partition."""
+    """The open bin of each class in one partition. A piece: (doc_id, start, length, ids as bytes, doc_tokens)."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next = capacity, first_id
         self.waiting: dict[int, list] = {}
 
-    def put(self, piece: list, size: int) -> list[list]:
-        """The rows of a bin that is full now. piece: a row without sequence_id and offset."""
-        mine = self.waiting.setdefault(size, [])
+    def put(self, piece: tuple) -> list[tuple]:
+        """The rows of a bin that is full now: a piece, then sequence_id, offset and bin_class."""
+        k = class_of(piece[2], self.capacity)
+        mine = self.waiting.setdefault(k, [])
         mine.append(piece)
-        return self._close(size, self.waiting.pop(size)) if len(mine) * size == self.capacity else []
+        return self._close(self.waiting.pop(k), k) if len(mine) == k else []
 
-    def _close(self, size: int, pieces: list) -> list[list]:
-        out = [[*p, self.next, k * size] for k, p in enumerate(pieces)]
+    def _close(self, held: list, k: int) -> list[tuple]:
+        out, offset = [], 0
+        for piece in held:
+            out.append((*piece, self.next, offset, k))
+            offset += piece[2]
         self.next += 1
         return out
 
-    def finish(self) -> list[list]:
-        out = []
-        for size, pieces in sorted(self.waiting.items(), reverse=True):
-            while pieces:
-                many = 1 << (len(pieces).bit_length() - 1)
-                out += self._close(size, pieces[:many])
-                pieces = pieces[many:]
+    def finish(self) -> list[tuple]:
+        out, held, room = [], [], self.capacity
+        for k in sorted(self.waiting):
+            for doc, start, length, ids, total in self.waiting[k]:
+                while length:
+                    size = min(length, room)
+                    held.append((doc, start, size, ids[: 4 * size], total))
+                    start, length, ids, room = start + size, length - size, ids[4 * size :], room - size
+                    if not room:
+                        out += self._close(held, 0)
+                        held, room = [], self.capacity
         self.waiting = {}
-        return out
+        return out + (self._close(held, 0) if held else [])
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])."""
-    if capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bin_class[, ids])."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["sequence_id", "offset"]
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids + [pa.int64()] * 2
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bin_class"] + ["ids"] * with_ids
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        doc, start, length, ids, total, sequence, offset, k = zip(*rows)
+        columns = [pa.array(c, pa.int64()) for c in (doc, start, length, [zlib.crc32(x) for x in ids], total, sequence, offset, k)]
+        if with_ids:
+            columns.append(pa.array([np.frombuffer(x, "<u4").tolist() for x in ids], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
         encode, bins = tokenizer(path).ids, Bins(capacity, TaskContext.get().partitionId() << 33)
@@ -132,18 +164,16 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         for batch in batches:
             for part in K.slices(batch, "text"):
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.append(encode(text) if text else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                     start = 0
                     for size in cut(len(ids), capacity):
-                        own = ids[start : start + size]
-                        rows += bins.put([doc, start, size, zlib.crc32(own.tobytes()), len(ids), *([own.tolist()] * with_ids)], size)
+                        rows += bins.put((doc, start, size, ids[start : start + size].tobytes(), len(ids)))
                         start += size
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
+                    if len(rows) > 5_000:
+                        yield batch_of(rows)
+                        rows = []
         rows += bins.finish()
         if rows:
             yield batch_of(rows)
 
-    out = source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + "ids array<long>, " * with_ids + "sequence_id long, offset long")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
+    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class long" + ", ids array<long>" * with_ids)
