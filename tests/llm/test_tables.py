@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelex.llm import lattice_dedup as L
 from tidelex.llm.shared import components
-from tidelex.llm.warc import ARC_FIELDS, ArcRecord, page_of, read_arc, read_warc, record_id, to_warc, warc_round_trip, write_arc
+from tidelex.llm.warc import ARC_FIELDS, ArcRecord, convert, page_of, read_arc, read_back, read_warc, record_id, to_warc, unpacked, warc_round_trip, write_arc
 
 
 @pytest.mark.parametrize("in_task", [300_000, 40])
@@ -98,10 +100,13 @@ def test_record_ids_hold_numbers():
         assert page_of(record_id(n)) == n
 
 
-def test_warc_round_trip(spark):
-    big, small = "<p>é" * 400, "<p>same"
+@pytest.mark.parametrize("heavy, file_bytes", [(100_000, 32 << 20), (2, 3000)])
+def test_warc_round_trip(spark, heavy, file_bytes):
+    big, small, other = "<p>é" * 400, "<p>same", "<q>b" * 300
     rows = [(1, "http://a", big), (2, "http://b", big), (9, "u r l", big), (3, None, small), (4, "http://c", small), (5, "x", None), (6, "x", ""), (7, "x", "\r\n\r\nWARC/1.1\r\n"), (None, "n", big), (9, "u r l", big), (8, "l", "z" * 300_000)]
-    got = Counter(tuple(r) for r in warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash"))).collect())
+    rows += [(20, "two", other), (20, "two", big + "!"), (21, "t", big + "!"), (22, "t", other), (20, "two", big)]  # one page_id, several payloads
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash")).withColumn("digest", F.lit(1))
+    got = Counter(tuple(r) for r in warc_round_trip(pages, heavy=heavy, file_bytes=file_bytes).collect())
     want = Counter()
     for i, _, t in rows:
         b = (t or "").encode()
@@ -110,3 +115,31 @@ def test_warc_round_trip(spark):
         want[i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if to is not None else "response", to] += 1
     assert got == want
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_archives_of_others(spark, tmp_path):
+    """ARC without page numbers and with payloads that are no text; WARC with a gzip member a record."""
+    binary = bytes(range(256)) * 5
+    records = [ArcRecord("http://a/", "1.2.3.4", "200102030405", "text/html", "200", b"HTTP/1.0 200 OK\r\n\r\n" + binary), ArcRecord("http://b/", "0.0.0.0", "19991231235959", "image/gif", "404", binary), ArcRecord("dns:a", "0.0.0.0", "19991231235959", "text/dns", None, b"")]
+    arcs = spark.createDataFrame([(write_arc(records, 1),), (write_arc(records[:1], 2),)], "arc binary").coalesce(1)
+    for size, files in ((32 << 20, 1), (2000, 3)):
+        folder = convert(arcs, str(tmp_path / f"w{size}"), size)
+        paths = [x for x in os.listdir(folder) if x.endswith(".gz")]
+        assert len(paths) == files
+        whole = [list(read_warc(gzip.open(f"{folder}/{x}").read())) for x in paths]
+        assert all(w[0][0]["warc-type"] == "warcinfo" for w in whole)
+        found = [(h, b) for w in whole for h, b in w[1:]]
+        assert sorted(b for _, b in found) == sorted([records[0].block, *(r.block for r in records)])
+        assert len({h["warc-record-id"] for h, _ in found}) == 3 and all(page_of(h["warc-record-id"]) is None for h, _ in found)
+        got = Counter(tuple(r) for r in read_back(arcs, folder).collect())
+        digest = hashlib.sha1(binary).hexdigest()
+        assert got == {(None, len(binary), digest, "response", None): 3, (None, 0, hashlib.sha1(b"").hexdigest(), "response", None): 1}
+    members = tmp_path / "members"
+    members.mkdir()
+    (members / "x.warc.gz").write_bytes(b"".join(gzip.compress(to_warc(r, k)) for k, r in enumerate(records)))
+    assert sorted((r.page_id, r.payload_bytes) for r in read_back(arcs, str(members)).collect()) == [(0, 1280), (1, 1280), (2, 0)]
+    data = b"".join(gzip.compress(to_warc(r, k)) for k, r in enumerate(records))
+    assert [h for h, _ in read_warc(unpacked(data, 7))] == [h for h, _ in read_warc(gzip.decompress(data))]
+    for broken in (data[:-9], gzip.compress(to_warc(records[0], 1)[:-2])):
+        with pytest.raises(ValueError):
+            list(read_warc(unpacked(broken)))
