@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -75,3 +76,25 @@ def test_near_duplicates_are_those_of_five_words_and_four_fifths(spark):
     assert 12 < len(want) < 26
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()} == want
+
+
+def test_quality_stage_removes_bad_texts_only(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, ("plain words of a text " if i % 3 else "#!! b%d ^^ zz&& ") * (4 + i % 5), None, "s", 1) for i in range(120)] + [(500, "plain words of a text", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("more", F.lit(1))
+    spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.keep_good_quality(spark, docs, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert {r.doc_id for r in got.collect()} == {i for i in range(120) if i % 3} | {500}
+
+
+def test_run_leaves_only_its_stages_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from tidelex import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert sorted(x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES[:-1])

@@ -201,6 +201,69 @@ def test_quality(spark):
     assert [x.score for x in none] == [0.5] * 3
 
 
+def test_quality_equals_a_plain_loop(spark):
+    """Weights by a loop over dictionaries, scores by a sum over the words of one text."""
+    from tidelex.llm import quality as Q
+
+    one = lambda x: K.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]
+    mix = lambda x: int(K.mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+    def entries(text):
+        words = [w.encode() for w in WORDS.findall(text or "")]
+        h = [int(one(w)) for w in words]
+        shapes = []
+        for k, w in enumerate(words):
+            kinds = bytes(97 if c > 127 else 48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 else c for c in w)
+            short = bytes(c for j, c in enumerate(kinds) if j == 0 or c != kinds[j - 1])
+            shapes.append(0x1234567 if k and words[k - 1] == w else int(one(short)))
+        pair = lambda x: [mix(a * 3 + b) for a, b in zip(x, x[1:])]
+        three = [mix(a * 5 + b) for a, b in zip(pair(shapes), shapes[2:])]
+        out = {1 << Q.BITS: 1.0}
+        for k, values in enumerate((h, pair(h), shapes, pair(shapes), three)):
+            for v, c in Counter(mix(v ^ int(Q._SALT[k])) >> (64 - Q.BITS) for v in values).items():
+                out[v] = out.get(v, 0.0) + c / math.sqrt(len(values))
+        return out
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["ab", "Ab1", "c!!", "é", "x-y", "c!!"]) for _ in range(r.randrange(0, 30))) for _ in range(30)]
+    labels = [r.randrange(2) for _ in texts]
+    z, n, alpha, beta, l1, l2 = Counter(), Counter(), 0.3, 1.0, 0.02, 0.2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(2):
+        for t, y in zip(texts, labels):
+            x = entries(t)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    weights, bias = Q.train(list(zip(texts, labels)))
+    assert abs(bias - weight(1 << Q.BITS)) < 1e-9 and all(abs(weights[i] - weight(i)) < 1e-9 for i in z if i < 1 << Q.BITS) and np.count_nonzero(weights) <= len(z)
+    import pyarrow as pa
+
+    got = Q.scores(weights, bias, *K.text_buffers(pa.array(texts)))
+    assert all(abs(s - 1 / (1 + math.exp(-sum(weight(i) * v for i, v in entries(t).items())))) < 1e-9 for s, t in zip(got, texts))
+    for k in (0, 7, 29):  # the same to the last bit wherever the text stands
+        for around in (texts[:k], texts[k:], ["", texts[3] * 9, ""]):
+            assert Q.scores(weights, bias, *K.text_buffers(pa.array([*around, texts[k], "x"])))[-2] == got[k]
+
+
+def test_quality_learns_from_long_texts_within_its_bound(spark):
+    from tidelex.llm import quality as Q
+
+    rows = [(i, ("good words here " if i % 2 else "bad!! stuff%% ") * (25_000 if i < 2 else 3), None, None, 1) for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    long = [r for r in rows if len(r[1]) > 200_000]
+    assert long
+    only = labels.where(F.col("doc_id").isin([r[0] for r in long]))
+    assert np.count_nonzero(Q.fit(docs, only)[0]) > 0 and np.count_nonzero(Q.fit(docs, only, sample_bytes=10)[0]) > 0
+    few, many = Q.fit(docs, labels, sample_bytes=200), Q.fit(docs, labels)
+    assert not np.array_equal(few[0], many[0])
+
+
 def test_quality_rules(spark, docs):
     xxhash = pytest.importorskip("xxhash")
     rows = corpus()
@@ -388,6 +451,59 @@ def test_license_given_twice(spark):
     assert got[(8, "MIT")].last_word - got[(8, "MIT")].first_word == m - 1
 
 
+def test_alignment_equals_a_plain_recursion():
+    def plain(a, b):
+        if not a or not b:
+            return []
+        pairs = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+        rise, ways = [], []  # a longest chain that ends at each pair, and how many there are
+        for k, (i, j) in enumerate(pairs):
+            before = [m for m in range(k) if pairs[m][1] < j]
+            most = max((len(rise[m]) for m in before), default=0)
+            rise.append(max((rise[m] for m in before), key=len, default=[]) + [(i, j)])
+            ways.append(sum(ways[m] for m in before if len(rise[m]) == most) if before else 1)
+        best = max(map(len, rise), default=0)
+        if not best:
+            n = 0
+            while n < min(len(a), len(b)) and a[n] == b[n]:
+                n += 1
+            m = 0
+            while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+                m += 1
+            return [(k, k) for k in range(n)] + [(len(a) - m + k, len(b) - m + k) for k in range(m)]
+        if sum(w for x, w in zip(rise, ways) if len(x) == best) > 1:
+            return None  # several longest chains: either will do
+        chain, out, x, y = next(c for c in rise if len(c) == best), [], 0, 0
+        for i, j in [*chain, (len(a), len(b))]:
+            inner = plain(a[x:i], b[y:j])
+            if inner is None:
+                return None
+            out += [(x + p, y + q) for p, q in inner] + ([(i, j)] if i < len(a) else [])
+            x, y = i + 1, j + 1
+        return out
+
+    r, told = random.Random(5), 0
+    for _ in range(600):
+        b = [r.choice("abcdefghijklmnop") for _ in range(r.randrange(0, 14))]
+        a = [w if r.random() < 0.8 else r.choice("abcxyz") for w in b if r.random() < 0.9] + [r.choice("abcd") for _ in range(r.randrange(3))]
+        want = plain(a, b)
+        found = align(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        if want is not None:
+            assert found == want
+            told += 1
+    assert told > 200
+
+
+def test_two_licenses_in_one_text(spark):
+    names = ["MIT", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "MPL-2.0", "LGPL-2.1", "AGPL-3.0"]
+    rows = [(i, f"Some code first.\n{TEMPLATES[a]}\n and then of the software {TEMPLATES[b]} the rest") for i, (a, b) in enumerate(zip(names, names[1:]))]
+    got = {(r.doc_id, r.license): r.coverage for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i, a] == 1.0 for i, pair in enumerate(zip(names, names[1:])) for a in pair)
+    # Of the others only those whose words a text really has in order.
+    assert {k for k in got if k[1] not in names[k[0] : k[0] + 2]} <= {(0, "BSD-2-Clause"), (1, "BSD-2-Clause"), (6, "GPL-3.0"), (5, "GPL-3.0"), (5, "AGPL-3.0")}
+
+
 def test_regions_hold_every_copy():
     r = random.Random(9)
     for _ in range(300):
@@ -429,6 +545,21 @@ def test_language_id_of_many_scripts(spark):
     assert kept == set(range(420))  # not 900, whose letters no language has
 
 
+def test_language_id_of_equal_costs_and_repeated_ids(spark):
+    rows = [(i, "abc abd acd", "bb" if i % 3 else "aa", "s", 1) for i in range(40)] + [(3, "zzz yyy", "aa", "s", 1), (3, "abd", "aa", "s", 1)]
+    parts = [language_id(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect() for n in (1, 5)]
+    assert Counter(map(tuple, parts[0])) == Counter(map(tuple, parts[1]))  # the same model from any partitioning
+    plain = language_id(spark.createDataFrame(rows[:40], SCHEMA), sample_symbols=23).collect()
+    assert {x.lang_pred for x in plain} == {"bb"} and {x.score for x in plain} == {0.0}  # equal costs: the one with more rows
+
+
+def test_many_languages_do_not_overflow():
+    r = random.Random(1)
+    train = [(f"l{k}", "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))) for k in range(400)]
+    parser = CrossParser(train)
+    assert (parser.table >= 0).all() and parser.predict([train[k][1] for k in (0, 399)])[0] == ["l0", "l399"]
+
+
 def test_cross_parsing_beyond_the_dense_table():
     r = random.Random(13)
     words, text = scripts(r)

@@ -7,8 +7,9 @@ Texts are read as lower-case letters with single blanks between words, one blank
 segments of 256 symbols that are parsed side by side; a phrase ends where its segment ends. Every letter of the
 training text is a symbol: moves by the ``DENSE`` most frequent ones are in a dense table, all others in a sorted list.
 
-The model is fitted on whole documents in the order of a hash of doc_id, until ``sample_symbols``
-symbols a language (the last one is cut there). Prediction reads every text whole.
+The model is fitted on documents in the order of a hash of doc_id, each whole, until ``sample_symbols`` symbols a language
+(the last one is cut there): from at most about three times ``sample_documents`` documents a language, and for the ``languages``
+with the most rows. These three parameters bound the sample. Prediction reads every text whole.
 
 Edge cases: null text or text without a letter gives ``und`` and score 0; equal costs go to the
 language with more training rows, then to the smaller name; no training rows at all give ``und``.
@@ -29,6 +30,7 @@ from tidelex.llm import textkit as K
 
 SAMPLE_SYMBOLS = 24_000
 SAMPLE_DOCUMENTS = 48
+LANGUAGES = 1000
 DENSE = 60
 SEGMENT = 256
 UNKNOWN = "und"
@@ -226,19 +228,26 @@ def parser_of(texts: list[tuple[str, str]]) -> CrossParser:
     return _BUILT[key]
 
 
-def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
+def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
     """Training text of each language, from a bounded sample of the rows that are not held out."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return []
     place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 3.0 * sample_documents / n)))))
-    rows = train.where(place < share[F.col("lang")]).select("lang", place.alias("place"), F.substring("text", 1, 2 * sample_symbols).alias("text")).dropDuplicates(["lang", "place"])
+
+    def letters(batches):
+        for batch in batches:
+            text = [letters_only(t)[:sample_symbols] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(text, pa.string())], names=["lang", "place", "text"])
+
+    rows = train.where(place < share[F.col("lang")]).select("lang", place.alias("place"), "text").mapInArrow(letters, "lang string, place double, text string")
+    rows = rows.groupBy("lang", "place").agg(F.min("text").alias("text"))  # a doc_id of several texts: the smallest
     found: dict[str, str] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.place, r.text)):
         if len(found.get(r.lang, "")) < sample_symbols:
-            found[r.lang] = f"{found.get(r.lang, '')} {letters_only(r.text)}".strip()[:sample_symbols]
+            found[r.lang] = f"{found.get(r.lang, '')} {r.text}".strip()[:sample_symbols]
     return [(k, found[k]) for k in sorted(found, key=lambda k: (-sizes[k], k)) if found[k]]
 
 

@@ -97,13 +97,25 @@ def cells(unit: np.ndarray, label: np.ndarray, table: int, probes: int = PROBES,
     return K.mix(np.c_[whole, other] ^ salt[:, None])
 
 
-def _matrix(column: pa.Array) -> list[np.ndarray | None]:
-    """Usable vectors as doubles; None for the others."""
-    out = []
-    for v in column.to_pylist():
-        x = None if not v or any(c is None for c in v) else np.array(v, np.float64)
-        out.append(x if x is not None and np.isfinite(x).all() and np.any(x) else None)
-    return out
+def _usable(column: pa.Array) -> np.ndarray:
+    """Vectors that are there, with finite components that are not all zero."""
+    values = column.flatten()
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    x = values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(length)
+    bad, some = np.r_[0, np.cumsum(~np.isfinite(x))], np.r_[0, np.cumsum(x != 0)]
+    return (length > 0) & (bad[ends] == bad[ends - length]) & (some[ends] > some[ends - length])
+
+
+def _matrices(column: pa.Array, most: int = 512):
+    """(rows, their vectors as doubles scaled to length 1) of usable vectors, some of one length at a time."""
+    length = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    for dim in np.unique(length).tolist():
+        at = np.flatnonzero(length == dim)
+        for rows in np.array_split(at, -(-len(at) // most)):
+            x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            x /= np.abs(x).max(1, keepdims=True)
+            yield rows, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def lattice_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
@@ -111,25 +123,18 @@ def lattice_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABL
 
     def usable(batches):
         for batch in batches:
-            ok = [m is not None for m in _matrix(batch.column("embedding"))]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array(_usable(batch.column("embedding"))))
 
     good = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL").mapInArrow(usable, vectors.schema)
     classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"), F.max("vec_id").alias("high")).withColumn("cid", F.xxhash64("label", "embedding")), "vectors")
 
     def look(batches):
         for batch in batches:
-            found = _matrix(batch.column("embedding"))
             label, cid = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("cid").to_numpy()
-            for dim in {len(v) for v in found}:
-                at = np.array([i for i, v in enumerate(found) if len(v) == dim])
-                for part in np.array_split(at, max(1, len(at) // 512)):
-                    x = np.array([found[i] for i in part])
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for table in range(tables):
-                        c = cells(x, label[part], table).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[part], c.shape[1])), pa.array(c.ravel()), pa.array(np.tile(np.arange(c.shape[1]) == 0, len(part)))], names=["cid", "cell", "own"])
+            for rows, x in _matrices(batch.column("embedding")):
+                for table in range(tables):
+                    c = cells(x, label[rows], table).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[rows], c.shape[1])), pa.array(c.ravel()), pa.array(np.tile(np.arange(c.shape[1]) == 0, len(rows)))], names=["cid", "cell", "own"])
 
     seen = classes.mapInArrow(look, "cid long, cell long, own boolean")
     seen = stored(seen, "cells")

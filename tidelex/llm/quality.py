@@ -1,16 +1,18 @@
-"""Quality classifier: logistic regression on hashed word n-grams, trained by FTRL-proximal.
+"""Quality classifier: logistic regression on hashed n-grams of words and of word shapes, trained by FTRL-proximal.
 
 Features of a text: words and pairs of words, and one to three word shapes in a row. A shape keeps
 punctuation and says where letters (a, A) and digits (0) stand, runs shortened to one; a word equal
 to the one before it has a shape of its own. All are hashed into 2**18 weights, in five families,
 each scaled by 1/sqrt(n) of its n-grams; a text's score is the sigmoid of one sparse dot product.
 
-Training takes at most ``sample`` labelled rows that are not held out, chosen by a hash of doc_id,
-and goes through them in that order on the driver; all weights together are 1 MB.
+Training takes labelled rows that are not held out in the order of a hash of doc_id, at most ``sample`` of them and as many
+whole texts as have ``sample_bytes`` together (the first one in any case), and goes through them in that order on the
+driver; all weights together are 1 MB. Texts may be of any length, in training too.
 
 Edge cases: null and empty texts have the score of the bias alone; labels that are null, or
-rows with null doc_id, are not learned from; where a doc_id has several labels, the smallest holds. With
-nothing to learn from, every score is 0.5. Repeated rows get equal scores.
+rows with null doc_id, are not learned from; where a doc_id has several labels, the smallest holds, of several texts the
+smallest. With nothing to learn from, every score is 0.5. A score is summed within its text alone, so equal texts get equal
+scores wherever they stand.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelex.llm import textkit as K
+from tidelex.llm.shared import stored
 
 BITS = 18
 SAMPLE = 6_000
-LONGEST = 200_000
-FAMILIES = 5
-_SALT = K.mix(np.arange(11, 11 + FAMILIES, dtype=np.uint64))
+SAMPLE_BYTES = 64 << 20
+SIZES = (1, 2, 1, 2, 3)
+_SALT = K.mix(np.arange(11, 11 + len(SIZES), dtype=np.uint64))
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 
@@ -61,7 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], n
     s2 = two(s)
     s3 = K.mix(s2[:-1] * np.uint64(5) + s[2:]) if n > 2 else s[:0]
     out = []
-    for k, (x, size) in enumerate(((h, 1), (two(h), 2), (s, 1), (s2, 2), (s3, 3))):
+    for k, (x, size) in enumerate(zip((h, two(h), s, s2, s3), SIZES)):
         f = np.full(n, -1, np.int64)
         f[: len(x)] = (K.mix(x ^ _SALT[k]) >> shift).astype(np.int64)
         f[left < size] = -1
@@ -71,13 +74,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], n
 
 def scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     found, words = features(data, offsets)
+    count = np.diff(words)
+    full = np.flatnonzero(count)
     logit = np.full(len(offsets) - 1, bias)
     table = np.r_[weights, 0.0]  # -1 is the last
-    for f in found:
-        run = np.r_[0.0, np.cumsum(table[f])]
-        many = np.r_[0, np.cumsum(f >= 0)]
-        count = many[words[1:]] - many[words[:-1]]
-        logit += (run[words[1:]] - run[words[:-1]]) / np.sqrt(np.maximum(count, 1))
+    for f, size in zip(found, SIZES):
+        if len(full):
+            logit[full] += np.add.reduceat(table[f], words[full]) / np.sqrt(np.maximum(count[full] - size + 1, 1))
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
@@ -113,13 +116,24 @@ def train(rows: list[tuple[str, int]], alpha: float = 0.3, beta: float = 1.0, l1
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     place = F.xxhash64(F.lit(1), "doc_id")
     chosen = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(place, "doc_id").limit(sample)  # so its size is bounded
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(place.alias("place"), "text", "quality").collect()
-    return train([(r.text, r.quality) for r in sorted(rows, key=lambda r: r.place)])
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = stored(texts.select(place.alias("place"), "doc_id", "quality", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "training")
+    order, total = [], 0
+    for r in sorted(texts.select("place", "doc_id", "size").collect()):  # at most ``sample`` rows of three numbers
+        total += r.size
+        if order and total > sample_bytes:
+            break
+        order.append((r.place, r.doc_id))
+    if not order:
+        return train([])
+    last, upto = order[-1]
+    rows = texts.where((F.col("place") < last) | (F.col("place") == last) & (F.col("doc_id") <= upto)).collect()
+    return train([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.place, r.doc_id))])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str]) -> DataFrame:
@@ -137,8 +151,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str])
     return source.mapInArrow(run, StructType([*(docs.schema[c] for c in columns), StructField("score", DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) of ``docs(doc_id, text)`` by ``labels(doc_id, quality)``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    out = score(docs, fit(docs, labels, sample), ["doc_id"])
+    out = score(docs, fit(docs, labels, sample, sample_bytes), ["doc_id"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -38,16 +38,12 @@ _REPEATS = _let(
     "IF(size(h) < 3, array(), transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> xxhash64(x, h[i + 1], h[i + 2])))",
     "IF(size(array_distinct(g)) = size(g), 0L, "
     + _let(
-        "k",
-        "CAST(ceil(log2(size(g) + 1)) AS INT)",
+        "s",
+        "sort_array(transform(g, (x, i) -> named_struct('x', x, 'i', i)))",
         _let(
-            "s",
-            "sort_array(transform(g, (x, i) -> shiftleft(x, k) | CAST(i AS BIGINT)))",
-            _let(
-                "p",
-                "sort_array(transform(filter(s, (v, j) -> coalesce(shiftright(v, k) = shiftright(get(s, j - 1), k), false) OR coalesce(shiftright(v, k) = shiftright(get(s, j + 1), k), false)), v -> v & (shiftleft(1L, k) - 1)))",
-                "aggregate(transform(p, (a, j) -> coalesce(least(3L, get(p, j + 1) - a), 3L)), 0L, (a, x) -> a + x)",
-            ),
+            "p",
+            "sort_array(transform(filter(s, (v, j) -> coalesce(v.x = get(s, j - 1).x, false) OR coalesce(v.x = get(s, j + 1).x, false)), v -> CAST(v.i AS BIGINT)))",
+            "aggregate(transform(p, (a, j) -> coalesce(least(3L, get(p, j + 1) - a), 3L)), 0L, (a, x) -> a + x)",
         ),
     )
     + ")",

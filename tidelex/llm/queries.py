@@ -59,6 +59,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_quality_rules that no model decides, for a check by SQL."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -67,7 +72,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_classifier, op2_lattice_dedup, op3_substring_dedup, op4_license_scan, op5_language_id, op6_packing, op7_warc, op8_quality_rules, op9_bpe, op10_ngram_join)
+QUERIES = (op1_quality_classifier, op2_lattice_dedup, op3_substring_dedup, op4_license_scan, op5_language_id, op6_packing, op7_warc, op8_quality_rules, op9_bpe, op10_ngram_join, quality_rules_base)
 
 
 def queries() -> dict:
@@ -115,5 +120,18 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = s.doc_
 """
 
 
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+three AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM three),
+marked AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, unnest([i, i + 1, i + 2]) AS r(j) WHERE again.n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(marked.n, 0)::BIGINT AS n_repeat_words
+  FROM w JOIN lines USING (doc_id) LEFT JOIN marked ON marked.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lattice_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_lattice_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op10_ngram_join": OP10_SQL, "quality_rules_base": BASE_SQL}

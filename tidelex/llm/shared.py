@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelex.storage import shared_folder, stored
+from tidelex.storage import new_path, scratch, stored
 
-__all__ = ["bits_for", "components", "shared_folder", "shuffle_partitions", "stored", "text_bytes"]
+__all__ = ["bits_for", "components", "new_path", "scratch", "shuffle_partitions", "stored", "text_bytes"]
 
 IN_TASK = 300_000
 
