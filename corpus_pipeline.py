@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tidelex.llm import language_id, quality
 from tidelex.llm.ngram_join import ngram_components
 from tidelex.llm.packing import pack
 from tidelex.llm.queries import vocabulary
-from tidelex.llm.shared import shared_folder
+from tidelex.llm.shared import new_path, scratch
 from tidelex.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +20,8 @@ NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR = 5, 4, 5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no learned language explains, go."""
+    """Texts without a letter (null and empty ones too), or that no learned language explains, go. Columns beyond those of documents
+    are dropped here and in the stages after it."""
     docs = docs.select(*COLUMNS)
     texts = language_id.fit(docs)
     out = language_id.identify(docs, texts, COLUMNS)
@@ -33,7 +32,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that score below one half go."""
+    """Texts that score below one half go; null and empty texts are judged by the bias alone. Without any label all stay, at one half."""
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, COLUMNS).where("score >= 0.5").select(*COLUMNS)
@@ -55,6 +54,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; null and empty texts are their end id alone."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -71,9 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. A stage's own tables go when its result is written, that result stays: the last one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
