@@ -10,7 +10,7 @@ are laid one after another and cut where a sequence is full, so that one sequenc
 cases: null and empty texts are the end id alone; null doc_ids and repeated rows are packed like any other row; an empty table
 has no pieces.
 
-Ids are those of the ``tokenizers`` library: it encodes each pre-token, and short ones are remembered, so that a word is encoded
+Ids are those of the ``tokenizers`` library: its model encodes each pre-token, and short ones are remembered, so that a word is encoded
 once. Where the file's pre-tokenizer isn't the byte-level one, the library encodes each text as a whole.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
+from tidelex.llm.bpe_stream import byte_symbols
 from tidelex.llm.pretokens import Memory, around, pieces, splitter
 
 CAPACITY = 1024
@@ -53,14 +55,16 @@ class LibraryIds:
         self.by_words = by_words and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
         if self.by_words:
             self.special = {a["content"]: a["id"] for a in added}
-            self.split, self.known = splitter(PATTERN), Memory(self._encode)
+            self.split, self.known = splitter(PATTERN), Memory(self._word)
+            self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        """A pre-token's ids by the library's model, which takes byte-level symbols."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_words:
-            return np.frombuffer(self._encode(text), "<u4")
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         out, word = [], self.known.__getitem__
         for part, token in around(text, self.special):
             for piece in pieces(part):

@@ -83,15 +83,16 @@ def around(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None
 
 
 class Memory(dict):
-    """What short words were encoded to, of bounded size."""
+    """What short words were encoded to, of bounded size: when it is full, words not met since it was full before are forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000, short: int = 48):
-        self.encode, self.most, self.short = encode, most, short
+    def __init__(self, encode: Callable[[str], bytes], most: int = 250_000, short: int = 48):
+        self.encode, self.most, self.short, self.before = encode, most, short, {}
 
     def __missing__(self, word: str) -> bytes:
-        made = self.encode(word)
+        made = self.before.get(word) or self.encode(word)
         if len(word) <= self.short:
             if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[word] = made
         return made
