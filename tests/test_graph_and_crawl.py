@@ -54,6 +54,89 @@ def test_crawl_goes_breadth_first_and_restarts(spark, tmp_path):
     assert [r.url for r in done.where("status = 'skipped'").collect()] == [SITE + "threads"]
 
 
+def test_crawl_fetches_robots_once_a_host_and_keeps_pauses(spark, tmp_path):
+    """A fake site whose fetches are logged, with the time a fake clock says."""
+    log = tmp_path / "log"
+    log.mkdir()
+    site = {SITE + n: "".join(f'<a href="{x}">{x}</a>' for x in to) for n, to in LINKS.items()} | {SITE + "robots.txt": "User-agent: *\nCrawl-delay: 0.4\nDisallow: /threads\n"}
+
+    def get(url):
+        import time
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(f"{time.time()} {url}")
+        return (site[url], 200) if url in site else (None, 404)
+
+    pages = Crawl(spark, str(tmp_path / "c"), CrawlOptions(delay=0.1)).run([SITE + "index", "http://none.example/x"], function_fetcher(get))
+    assert sorted((r.url, r.status) for r in pages.collect()) == [("http://none.example/x", "failed"), *((SITE + n, "fetched") for n in ("about", "index", "search")), (SITE + "threads", "skipped")]
+    asked = sorted((float(t), u) for t, u in (x.read_text().split(" ") for x in log.iterdir()))
+    urls = [u for _, u in asked]
+    assert len(urls) == len(set(urls)) and SITE + "threads" not in urls and {SITE + "robots.txt", "http://none.example/robots.txt"} <= set(urls)
+    assert urls.index(SITE + "robots.txt") < urls.index(SITE + "index")
+    times = {u: t for t, u in asked}
+    assert abs(times[SITE + "about"] - times[SITE + "search"]) >= 0.39
+
+
+def test_crawl_goes_on_until_the_frontier_is_empty(spark, tmp_path):
+    chain = spark.createDataFrame([(f"{SITE}{k}", f'<a href="/{k + 1}">x</a>') for k in range(7)], "url string, html string")
+    bodies = spark.createDataFrame([], "host string, body string")
+    done = Crawl(spark, str(tmp_path / "c")).run([SITE + "0"], mirror_fetcher(chain), bodies)
+    assert done.where("status = 'fetched'").count() == 7 and done.where("status = 'failed'").count() == 1
+    part = Crawl(spark, str(tmp_path / "d"), CrawlOptions(max_levels=2))
+    assert part.run([SITE + "0"], mirror_fetcher(chain), bodies).count() == 2 and part.run([], mirror_fetcher(chain), bodies).count() == 4
+
+
+def test_manifest_and_seeds(spark, tmp_path):
+    pages = spark.createDataFrame([(3, "http://x/a", "A\tb", [("http://x/b", "t"), ("http://x/c", "")]), (4, "http://x/b", "", [])], "page_id long, url string, title string, links array<struct<url:string,anchor_text:string>>")
+    S.write_manifest(pages, str(tmp_path / "m"))
+    got = {r.id: (r.rel_path, r.url, r.title, r.outlinks) for r in S.read_manifest(spark, str(tmp_path / "m")).collect()}
+    assert got[3] == (spark.range(1).select(S.page_path(F.lit(3))).first()[0], "http://x/a", "A b", ["http://x/b", "http://x/c"]) and got[4][1:] == ("http://x/b", "", [])
+    (tmp_path / "seeds.txt").write_text("# first\n http://x/a \n\nhttp://x/b\n")
+    assert [r.url for r in S.read_seeds(spark, str(tmp_path / "seeds.txt")).collect()] == ["http://x/a", "http://x/b"]
+
+
+def test_command_line_crawls_and_ranks(spark, tmp_path):
+    from tidelex.plans.index import SearchIndex
+    from tidelex.serving.cli import main
+
+    mirror(spark).write.parquet(str(tmp_path / "mirror.parquet"))
+    (tmp_path / "seeds.txt").write_text(SITE + "index\n")
+    assert main(["crawl", str(tmp_path / "seeds.txt"), str(tmp_path / "c"), "--mirror", str(tmp_path / "mirror.parquet"), "--manifest", str(tmp_path / "m"), "--delay", "0"], spark) == 0
+    assert S.read_manifest(spark, str(tmp_path / "m")).count() == 4
+    S.number(mirror(spark), F.col("url"), name="page_id").write.parquet(str(tmp_path / "p.parquet"))
+    assert main(["build", str(tmp_path / "p.parquet"), str(tmp_path / "i")], spark) == 0
+    assert main(["pagerank", str(tmp_path / "i"), "--iterations", "5", "--damping", "0.8"], spark) == 0
+    assert SearchIndex.load(spark, str(tmp_path / "i")).pagerank.count() == 4
+
+
+def test_index_splits_the_postings_of_one_word(spark, tmp_path):
+    from tidelex.plans.index import SearchIndex
+
+    corpus = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("u").alias("url"), F.lit("").alias("path"), F.lit("").alias("title"), F.lit("the").alias("text"))
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        SearchIndex.build(corpus).save(str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.read.parquet(str(tmp_path / "i" / "postings")).groupBy(F.input_file_name()).count().collect()
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 4000
+
+
+def test_edges_stay_where_they_are(spark):
+    from tidelex.operators import pagerank as P
+
+    edges = spark.range(3000).selectExpr("id % 100 AS src", "id * 7 % 100 AS dst").repartition(4, "src").persist()
+    ranks = spark.range(100).selectExpr("id AS doc_id", "30L AS degree", "0.01D AS score")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = P.step(ranks, edges, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        edges.unpersist()
+    join = plan[plan.index("SortMergeJoin [src") if "SortMergeJoin [src" in plan else 0 :]
+    assert "InMemoryTableScan" in join and "hashpartitioning(src" not in plan.split("InMemoryTableScan")[0].split("SortMergeJoin")[-1]
+
+
 def test_fetch_by_function(spark):
     urls = spark.createDataFrame([("http://a/1", "a", 0, 0), ("http://b/2", "b", 0, 1)], "url string, host string, depth int, seq long")
     got = {r.url: (r.ok, r.html) for r in function_fetcher(lambda u: ("body", 200) if "a" in u else ("x", 404))(urls).collect()}
@@ -115,7 +198,7 @@ def test_serving(spark, tmp_path):
     get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}", timeout=60).read().decode()
     found = json.loads(get("/api/search?q=about"))
     assert found["totalMatches"] == len(found["results"]) > 0 and "<mark>" in get("/search?q=about") and "class=error" in get("/search?q=-x")
-    for path, code in (("/api/search?q=-x", 400), ("/nowhere", 404)):
+    for path, code in (("/api/search?q=-x", 400), ("/nowhere", 404), ("/search?q=" + "x" * 60_000 + "&y=" + "z" * 5_000, 400)):
         try:
             get(path)
             raise AssertionError(path)

@@ -250,6 +250,12 @@ def html_attr(spark, d):
     return spark.createDataFrame(TAG_ROWS, "tag string").select("tag", H.html_attr(F.col("tag"), "href").alias("href"))
 
 
+@query(f"WITH t AS (SELECT page_id, regexp_extract_all(html, '<[aA][ \\t\\n][^>]*>') AS g FROM pages), x AS (SELECT page_id, i - 1 AS pos, g[i] AS x FROM t, unnest(range(1, len(g) + 1)) AS r(i)) SELECT page_id, pos::INT AS pos, {HREF_SQL} AS href FROM x")
+def html_attr_pages(spark, d):
+    tags = pages(spark, d).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<[aA][ \\t\\n][^>]*>"), F.lit(0))).alias("pos", "tag"))
+    return tags.select("page_id", "pos", H.html_attr(F.col("tag"), "href").alias("href"))
+
+
 ENTITY_ROWS = ["a &amp; b", "&amp;lt;", "&#38;lt;", "&LT;p&GT;", "&nbsp;x&mdash;y", "&unknown; & foo &quot;", "&#x41;&#66;&#200;&#0;", "&rsquo;&lsquo;&ldquo;&rdquo;", "&amp", ""]
 
 
@@ -258,6 +264,16 @@ def decode_entities(spark, d):
     return spark.createDataFrame([(e,) for e in ENTITY_ROWS], "raw string").select("raw", H.decode_entities(F.col("raw")).alias("decoded"))
 
 
+@query(f"SELECT page_id, {decode_sql('html')} AS decoded FROM pages")
+def decode_entities_pages(spark, d):
+    return pages(spark, d).select("page_id", H.decode_entities(F.col("html")).alias("decoded"))
+
+
+@query("SELECT page_id, url_decode(replace(url, '+', ' ')) AS decoded FROM pages")
+def url_decode_pages(spark, d):
+    return pages(spark, d).select("page_id", T.url_decode(F.col("url")).alias("decoded"))
+
+
 HREFS = ["c.html", "/root.html", "https://x.com/y", "#frag", "javascript:void(0)", "c.html#section", "https://x.com/y#top", "//h/p", " mailto:a@b ", "", "../up"]
 
 
@@ -290,14 +306,8 @@ def postings_positions(spark, d):
     return postings(spark, d).select("term", "doc_id", "positions")
 
 
-@query(f"WITH {POST} SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM post WHERE term < 'b' GROUP BY term")
-def postings_sorted(spark, d):
-    return postings(spark, d).where("term < 'b'").groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
-
-
 @query(f"WITH {POST} SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM post GROUP BY term")
-def postings_sorted_all(spark, d):
-    """The sorted postings of every word; ``postings_sorted`` and its SQL have those below 'b' alone."""
+def postings_sorted(spark, d):
     return postings(spark, d).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
@@ -586,8 +596,9 @@ def pagerank_dangling_only(spark, d):
 BEST = """s AS (SELECT doc_id, text, regexp_extract_all(text, '[^A-Za-z0-9]*[A-Za-z0-9]+') AS g FROM documents), e AS (SELECT doc_id, i - 1 AS pos, g[i] AS x, len(g) AS n FROM s, unnest(range(1, len(g) + 1)) AS t(i)),
 sp AS (SELECT doc_id, pos, n, regexp_extract(x, '([A-Za-z0-9]+)$', 1) AS w, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM e),
 ht AS (SELECT *, e - length(w) AS st, sum((lower(w) IN ('the', 'of'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS hits FROM sp),
-best AS (SELECT doc_id, pos, hits, n, e FROM ht WHERE pos >= least(25, n) - 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) = 1),
-win AS (SELECT b.doc_id, b.pos - least(25, b.n) + 1 AS first, b.pos AS last, b.n AS n_tokens, b.hits, f.st AS "from", b.e AS "to" FROM best b JOIN ht f ON f.doc_id = b.doc_id AND f.pos = b.pos - least(25, b.n) + 1)"""
+fr AS (SELECT *, lag(st, (least(25, n) - 1)::BIGINT) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM ht),
+best AS (SELECT doc_id, max(hits * 1000000000 - pos) AS top FROM fr WHERE pos >= least(25, n) - 1 GROUP BY doc_id),
+win AS (SELECT fr.doc_id, pos - least(25, n) + 1 AS first, pos AS last, n AS n_tokens, hits, f AS "from", e AS "to" FROM fr JOIN best ON fr.doc_id = best.doc_id AND hits * 1000000000 - pos = top AND pos >= least(25, n) - 1)"""
 
 
 @query(f'WITH {BEST} SELECT doc_id, first::INT AS first, last::INT AS last, n_tokens::INT AS n_tokens, hits::INT AS hits, "from"::INT AS "from", "to"::INT AS "to" FROM win')
@@ -617,22 +628,18 @@ def highlight(spark, d):
 
 @query(
     """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (7 * page_id + 3) % n AS dst FROM pages, n WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, (13 * page_id + 1) % n FROM pages, n WHERE page_id % 3 = 0),
-b AS (SELECT 1::BIGINT AS page_id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = b.page_id WHERE depth < 6) SELECT page_id, min(depth)::INT AS depth FROM b GROUP BY page_id"""
+b AS (SELECT page_id, 0 AS depth FROM pages WHERE page_id % 50 = 1 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = b.page_id, n WHERE depth < 40) SELECT page_id, min(depth)::INT AS depth FROM b GROUP BY page_id"""
 )
 def crawl_bfs_levels(spark, d):
-    _, edges = graph(spark, d)
-    frontier = spark.createDataFrame([(1, 0)], "page_id long, depth int")
-    seen = frontier
-    for k in range(1, 7):
-        frontier = edges.join(frontier, edges.src == frontier.page_id).select(F.col("dst").alias("page_id")).distinct().join(seen, "page_id", "left_anti").withColumn("depth", F.lit(k))
-        seen = seen.unionByName(frontier)
-    return seen
+    """Levels of a walk from every 50th page over the whole graph, until nothing new is met."""
+    nodes, edges = graph(spark, d)
+    return C.levels(edges, nodes.where("doc_id % 50 = 1").select(F.col("doc_id").alias("page_id")))
 
 
 @query(f"WITH {LINKS} SELECT link_url AS url, min(page_id * 1000 + pos) AS seq FROM links WHERE (starts_with(lower(link_url), 'http://') OR starts_with(lower(link_url), 'https://')) AND link_url NOT IN (SELECT url FROM pages) GROUP BY link_url")
 def crawl_frontier_step(spark, d):
     found = _links(spark, d).select(F.col("link_url").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"))
-    return C.frontier_step(found, pages(spark, d), limit=2_000_000_000)
+    return C.frontier_step(found, pages(spark, d), limit=None)
 
 
 @query(f"WITH {LINKS} SELECT page_id, pos, link_url AS url FROM links WHERE starts_with(lower(link_url), 'http') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3")
@@ -695,14 +702,14 @@ def crawl_stats(spark, d):
 
 
 @query(
-    f"""WITH {LINKS}, {TITLES.removeprefix(SEG + ", " + EX + ", ")}, seeds AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages ORDER BY page_id LIMIT 10),
+    f"""WITH {LINKS}, {TITLES.removeprefix(SEG + ", " + EX + ", ")}, seeds AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages),
 outs AS (SELECT page_id, pos, link_url FROM links JOIN seeds USING (page_id) WHERE starts_with(lower(link_url), 'http://') OR starts_with(lower(link_url), 'https://') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 50)
 SELECT n AS page_id, seeds.url, title, 0 AS depth, 'fetched' AS status FROM seeds JOIN titles USING (page_id)
 UNION ALL SELECT DISTINCT NULL::BIGINT, link_url, '', 1, 'failed' FROM outs WHERE link_url NOT IN (SELECT url FROM pages)"""
 )
 def crawl_run(spark, d):
-    """A crawl over the pages as a mirror, from the first ten of them."""
+    """A crawl over the pages as a mirror, from all of them and with a budget for more."""
     mirror = pages(spark, d)
-    seeds = [r.url for r in mirror.orderBy("page_id").limit(10).collect()]
-    done = C.Crawl(spark, options=C.CrawlOptions(max_pages=20)).run(seeds, C.mirror_fetcher(mirror))
+    seeds = [r.url for r in mirror.orderBy("page_id").select("url").collect()]
+    done = C.Crawl(spark, options=C.CrawlOptions(max_pages=2 * len(seeds) + 1, frontier_limit=None)).run(seeds, C.mirror_fetcher(mirror))
     return done.select("page_id", "url", "title", "depth", "status")

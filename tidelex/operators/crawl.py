@@ -7,9 +7,11 @@ position. The fetcher is a function of the caller; no network is used here.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tidelex.functions.html import html_links, html_title
 from tidelex.functions.urls import is_http, url_host, url_path
 from tidelex.operators import robots
-from tidelex.storage import shared_folder
+from tidelex.storage import shared_folder, stored
 
 FRONTIER_LIMIT, PAGE_BUDGET, OUTLINK_CAP, DELAY = 100_000, 50, 50, 0.5
 AGENT = "tidelex/1.0"
@@ -30,7 +32,7 @@ class CrawlOptions:
     frontier_limit: int = FRONTIER_LIMIT
     delay: float = DELAY
     agent: str = AGENT
-    max_levels: int = 50
+    max_levels: int | None = None
 
 
 def cap_outlinks(links: DataFrame, cap: int = OUTLINK_CAP) -> DataFrame:
@@ -40,11 +42,23 @@ def cap_outlinks(links: DataFrame, cap: int = OUTLINK_CAP) -> DataFrame:
     return kept.where(F.col("n") <= cap).select("page_id", "pos", "url")
 
 
-def frontier_step(found: DataFrame, seen: DataFrame, limit: int = FRONTIER_LIMIT) -> DataFrame:
-    """New http(s) urls of found(url, seq), each once with its first place, none that was seen; at most ``limit``
+def frontier_step(found: DataFrame, seen: DataFrame, limit: int | None = FRONTIER_LIMIT) -> DataFrame:
+    """New http(s) urls of found(url, seq), each once with its first place, none that was seen; at most ``limit``, or all
     (what goes beyond is not marked as seen, so it may come back)."""
     new = found.where(is_http(F.col("url"))).groupBy("url").agg(F.min("seq").alias("seq")).join(seen.select("url"), "url", "left_anti")
-    return new.orderBy("seq", "url").limit(limit)
+    return new.orderBy("seq", "url").limit(limit) if limit is not None else new
+
+
+def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(page_id, depth): the fewest edges(src, dst) from any of starts(page_id), of all that can be reached. Each level is
+    written, and the walk ends when one is empty."""
+    seen = frontier = stored(starts.select("page_id", F.lit(0).alias("depth")).distinct(), "level")
+    for depth in count(1):
+        met = edges.join(frontier.select(F.col("page_id").alias("src")), "src").select(F.col("dst").alias("page_id")).distinct()
+        frontier = stored(met.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 def polite_schedule(urls: DataFrame, delay: float = DELAY, delays: DataFrame | None = None) -> DataFrame:
@@ -74,8 +88,9 @@ def mirror_fetcher(mirror: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
-def function_fetcher(get: Callable[[str], tuple[str | None, int]]) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that calls ``get(url) -> (body, status)`` in the tasks, one host in one task; success is a 2xx status."""
+def function_fetcher(get: Callable[[str], tuple[str | None, int]], sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher that calls ``get(url) -> (body, status)`` in the tasks, one host in one task; success is a 2xx status. Where
+    the urls have a column ``wait``, a host's fetches begin at least that many seconds apart."""
 
     def fetch(urls: DataFrame) -> DataFrame:
         names = urls.columns
@@ -83,13 +98,21 @@ def function_fetcher(get: Callable[[str], tuple[str | None, int]]) -> Callable[[
         def run(batches: Iterable):
             import pandas as pd
 
+            begun: dict[str, float] = {}
             for rows in batches:
-                got = [get(u) for u in rows["url"]]
+                got = []
+                for k, url in enumerate(rows["url"]):
+                    host = rows["host"].iloc[k]
+                    if "wait" in names and host in begun and (left := begun[host] + rows["wait"].iloc[k] - clock()) > 0:
+                        sleep(left)
+                    begun[host] = clock()
+                    got.append(get(url))
                 ok = [b is not None and 200 <= s < 300 for b, s in got]
                 yield pd.concat([rows[names].reset_index(drop=True), pd.DataFrame({"html": [b if o else None for (b, _), o in zip(got, ok)], "ok": ok})], axis=1)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", html string, ok boolean"
-        return urls.repartition("host").mapInPandas(run, schema)
+        order = [c for c in ("depth", "seq") if c in names]
+        return urls.repartition("host").sortWithinPartitions("host", *order).mapInPandas(run, schema)
 
     return fetch
 
@@ -112,6 +135,17 @@ class Crawl:
 
     PAGES = "page_id long, url string, html string, title string, links array<struct<url:string,anchor_text:string>>, depth int, status string, level int"
 
+    def robots(self, hosts: DataFrame, fetch: Callable[[DataFrame], DataFrame], level: int) -> DataFrame:
+        """(host, body) of robots.txt of all hosts met so far: that of a host not met before is fetched, once, and kept in
+        the folder. A host without one has an empty body, which allows all."""
+        schema, folder = "host string, body string", f"{self.folder}/robots"
+        old = [f"{folder}/at={k}" for k in range(1, level)]
+        known = self.spark.read.schema(schema).parquet(*old) if old else self.spark.createDataFrame([], schema)
+        new = hosts.select("host", "scheme").where("host <> ''").groupBy("host").agg(F.min("scheme").alias("scheme")).join(known, "host", "left_anti")
+        asked = new.select(F.concat("scheme", F.lit("://"), "host", F.lit("/robots.txt")).alias("url"), "host", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"))
+        fetch(asked).select("host", F.when(F.col("ok"), F.col("html")).otherwise("").alias("body")).write.mode("overwrite").parquet(f"{folder}/at={level}")
+        return self.spark.read.schema(schema).parquet(*old, f"{folder}/at={level}")
+
     def pages(self) -> DataFrame:
         """What whole levels have written; level 0 is the seeds alone."""
         last = self._level()
@@ -120,7 +154,10 @@ class Crawl:
         return self.spark.read.schema(self.PAGES).option("recursiveFileLookup", "true").parquet(f"{self.folder}/pages").where(F.col("level") <= last)
 
     def run(self, seeds: list[str], fetch: Callable[[DataFrame], DataFrame], robots_bodies: DataFrame | None = None) -> DataFrame:
-        """Fetch up to the page budget and return all pages so far, those skipped or failed with their status."""
+        """Fetch up to the page budget and return all pages so far, those skipped or failed with their status. Each host's
+        robots.txt is fetched before its first page, unless ``robots_bodies`` gives (host, body) of all. A fetcher gets
+        with each url the seconds to wait after the host's last one: the delay asked for, or the host's own if that is longer.
+        The run ends with the budget, with the frontier, or after ``max_levels`` if there is such a limit."""
         o, spark = self.options, self.spark
         level = self._level() + 1
         if level == 0:
@@ -128,28 +165,28 @@ class Crawl:
             first.write.mode("overwrite").parquet(f"{self.folder}/frontier/at=0")
             spark.createDataFrame([(0,)], "level int").write.mode("append").parquet(f"{self.folder}/levels")
             level = 1
-        rules = robots.rules(robots_bodies, o.agent) if robots_bodies is not None else None
         fetched = 0
-        for _ in range(o.max_levels):
+        for _ in count() if o.max_levels is None else range(o.max_levels):
             frontier = spark.read.schema("url string, depth int, seq long").parquet(f"{self.folder}/frontier/at={level - 1}")
             todo = frontier.orderBy("depth", "seq").limit(o.max_pages - fetched)
-            named = todo.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-            if rules is not None:
-                named = named.join(robots.allowed(named, rules).distinct(), ["host", "path"], "left")
-            else:
-                named = named.withColumn("allowed", F.lit(True))
+            named = todo.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url")), "scheme": F.lower(F.regexp_extract("url", "^([A-Za-z]+):", 1))})
+            bodies = robots_bodies if robots_bodies is not None else self.robots(named, fetch, level)
+            named = named.join(robots.allowed(named, robots.rules(bodies, o.agent)).distinct(), ["host", "path"], "left").join(robots.delays(bodies, o.agent), "host", "left")
+            named = named.withColumn("wait", F.greatest(F.lit(float(o.delay)), F.coalesce("delay", F.lit(0.0))))
             go = F.col("allowed") & (F.col("host") != "")
-            got = fetch(named.where(go).select("url", "host", "depth", "seq"))
+            named = stored(named.withColumn("go", go), "named")
+            got = fetch(named.where("go").select("url", "host", "depth", "seq", "wait"))  # read once: a fetch is not to be repeated
             start = self.pages().agg(F.coalesce(F.max("page_id"), F.lit(-1))).first()[0] + 1
             # A level holds at most the page budget, so one window over it is small.
-            ok = got.where("ok").withColumn("page_id", F.row_number().over(Window.orderBy("depth", "seq")) + F.lit(start - 1))
+            turn = F.row_number().over(Window.partitionBy("ok").orderBy("depth", "seq"))
             links = F.slice(F.filter(html_links(F.col("html"), F.col("url")), lambda x: is_http(x["url"])), 1, o.outlink_cap)
-            done = ok.select("page_id", "url", "html", html_title(F.col("html")).alias("title"), links.alias("links"), "depth", F.lit("fetched").alias("status"))
-            blank = [F.lit(None).cast("string").alias("html"), F.lit("").alias("title"), F.lit(None).cast("array<struct<url:string,anchor_text:string>>").alias("links")]
-            no_id = F.lit(None).cast("long").alias("page_id")
-            failed = got.where("NOT ok").select(no_id, "url", *blank, "depth", F.lit("failed").alias("status"))
-            skipped = named.where(~go).select(no_id, "url", *blank, "depth", F.lit("skipped").alias("status"))
-            made = done.unionByName(failed).unionByName(skipped).withColumn("level", F.lit(level))
+            no_links = F.lit(None).cast("array<struct<url:string,anchor_text:string>>")
+            done = got.select(
+                F.when(F.col("ok"), turn + F.lit(start - 1)).cast("long").alias("page_id"), "url", F.when(F.col("ok"), F.col("html")).alias("html"), F.when(F.col("ok"), html_title(F.col("html"))).otherwise("").alias("title"),
+                F.when(F.col("ok"), links).alias("links"), "depth", F.when(F.col("ok"), "fetched").otherwise("failed").alias("status"),
+            )
+            skipped = named.where("NOT go").select(F.lit(None).cast("long").alias("page_id"), "url", F.lit(None).cast("string").alias("html"), F.lit("").alias("title"), no_links.alias("links"), "depth", F.lit("skipped").alias("status"))
+            made = done.unionByName(skipped).withColumn("level", F.lit(level))
             made.write.mode("overwrite").parquet(f"{self.folder}/pages/at={level}")
             written = spark.read.schema(self.PAGES).parquet(f"{self.folder}/pages/at={level}")
             fetched += written.where("status = 'fetched'").count()

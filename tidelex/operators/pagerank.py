@@ -1,7 +1,7 @@
 """PageRank over edges(src, dst): multi-edges and self links count, dangling mass is spread over all nodes.
 
-Edges are prepared once, partitioned by src with the out-degree on each. An iteration is one join and one
-aggregation; its table goes to the shared folder, so that lineage stays short.
+Edges are written once and kept partitioned by src, so that an iteration moves scores and sums, which are as many as nodes, and
+never the edges: a lost executor's part is read again. An iteration's table goes to the shared folder, so that lineage stays short.
 """
 
 from __future__ import annotations
@@ -45,10 +45,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         return nodes.select("doc_id", F.lit(0.0).alias("score"))
     ids = nodes.select("doc_id")
     weighted = edges.join(ids.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
-    weighted = stored(weighted.select("src", "dst").repartition("src"), "edges")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = stored(weighted.select("src", "dst"), "edges").repartition(parts, "src").persist()
     ranks = stored(out_degree(nodes, weighted).withColumn("score", F.lit(1.0 / n)), "ranks")
     for _ in range(iterations):
         ranks = stored(step(ranks, weighted, n, damping), "ranks")
         if tolerance is not None and ranks.agg(F.sum(F.abs(F.col("score") - F.col("previous")))).first()[0] < tolerance:
             break
+    weighted.unpersist()
     return ranks.select("doc_id", "score")

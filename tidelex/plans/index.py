@@ -1,7 +1,7 @@
 """The index: documents, postings with positions, lexicon, link edges and an optional PageRank table.
 
-Postings are written range-partitioned and sorted by (term, doc_id), so that a query's words prune row groups by
-the statistics of Parquet. ``meta`` holds the analyzer's options and an index id; a PageRank table is only used with
+Postings are counted once, then written range-partitioned and sorted by (term, doc_id): a query's words prune row groups by
+the statistics of Parquet, and a word of very many documents takes several files, not one task. ``meta`` holds the analyzer's options and an index id; a PageRank table is only used with
 the index it was computed for.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidelex.functions.text import AnalyzerOptions, tokenize
 from tidelex.operators.ranking import RankWeights, rank
 from tidelex.plans.query import ParsedQuery, compile_query
+from tidelex.storage import scratch, stored
 
 FORMAT = 1
 
@@ -63,7 +64,9 @@ class SearchIndex:
     def save(self, path: str) -> SearchIndex:
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        with scratch(spark):
+            counted = stored(self.postings, "postings")  # sampling the ranges reads them too
+            counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
         lexicon_of(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
         edges = self.edges if self.edges is not None else spark.createDataFrame([], "src long, dst long")

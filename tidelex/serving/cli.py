@@ -14,7 +14,7 @@ from tidelex.plans.index import SearchIndex
 from tidelex.plans.query import QueryParseError
 from tidelex.serving.render import as_text, find
 from tidelex.serving.server import make_server
-from tidelex.sources.corpus import folder_corpus, pages_corpus, read_seeds
+from tidelex.sources.corpus import folder_corpus, pages_corpus, read_seeds, write_manifest
 
 
 def http_get(agent: str, timeout: float = 10.0):
@@ -51,6 +51,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--mirror", help="a Parquet table of pages in place of the network")
     c.add_argument("--max-pages", type=int, default=CrawlOptions.max_pages)
     c.add_argument("--agent", default=CrawlOptions.agent)
+    c.add_argument("--delay", type=float, default=CrawlOptions.delay, help="seconds between the fetches of one host")
+    c.add_argument("--timeout", type=float, default=10.0, help="seconds that one fetch may take")
+    c.add_argument("--outlinks", type=int, default=CrawlOptions.outlink_cap, help="links followed from one page")
+    c.add_argument("--frontier", type=int, default=CrawlOptions.frontier_limit, help="new urls kept after one level")
+    c.add_argument("--no-robots", action="store_true", help="fetch no robots.txt and allow all")
+    c.add_argument("--manifest", help="where to write a table of the pages, tab separated")
     r = sub.add_parser("pagerank", help="score the link graph of an index")
     r.add_argument("index")
     r.add_argument("--damping", type=float, default=0.85)
@@ -73,9 +79,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         index = SearchIndex.build(corpus, AnalyzerOptions(a.stopwords, a.stem, a.min_length), links).save(a.index)
         print(f"{index.size()} documents, {index.lexicon.count()} terms")
     elif a.command == "crawl":
-        fetch = mirror_fetcher(spark.read.parquet(a.mirror)) if a.mirror else function_fetcher(http_get(a.agent))
+        fetch = mirror_fetcher(spark.read.parquet(a.mirror)) if a.mirror else function_fetcher(http_get(a.agent, a.timeout))
         seeds = [r.url for r in read_seeds(spark, a.seeds).collect()]
-        pages = Crawl(spark, a.folder, CrawlOptions(max_pages=a.max_pages, agent=a.agent)).run(seeds, fetch)
+        options = CrawlOptions(a.max_pages, a.outlinks, a.frontier, a.delay, a.agent)
+        pages = Crawl(spark, a.folder, options).run(seeds, fetch, spark.createDataFrame([], "host string, body string") if a.no_robots else None)
+        if a.manifest:
+            write_manifest(pages.where("status = 'fetched'"), a.manifest)
         print({r["status"]: r["count"] for r in pages.groupBy("status").count().collect()})
     elif a.command == "pagerank":
         index = SearchIndex.load(spark, a.index)

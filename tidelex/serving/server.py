@@ -14,6 +14,8 @@ MOST_HEADER = 64 * 1024
 def make_server(index: SearchIndex, port: int = 8080, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
+            if len(self.requestline) + sum(len(k) + len(v) + 4 for k, v in self.headers.items()) > MOST_HEADER:
+                return self._send(400, "text/plain", "the header is too long")
             parts = urlsplit(self.path)
             args = dict(parse_qsl(parts.query, keep_blank_values=True))  # of repeated names the last holds
             try:

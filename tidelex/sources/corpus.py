@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.html import html_links, html_text, html_title
 from tidelex.functions.text import sanitize_tsv, zero_padded
+from tidelex.storage import stored
 
 # Files of a crawl folder that are no documents, and extensions of HTML.
 NOT_DOCUMENTS = ("manifest.tsv", "frontier.txt", "seen.txt")
@@ -30,11 +31,12 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def number(rows: DataFrame, *order, name: str = "doc_id") -> DataFrame:
-    """Dense numbers from 0 in an order. Rows are range-partitioned by it; only the counts of the partitions, one
-    row each, meet in one place."""
+    """Dense numbers from 0 in an order. Rows are range-partitioned by it and written with their partition's number, so that counting
+    and numbering see the same partitions; only the counts, one row a partition, meet in one place."""
     keyed = rows.withColumns({f"__k{i}": c for i, c in enumerate(order)})
     keys = [f"__k{i}" for i in range(len(order))]
-    ranged = keyed.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(keyed.repartitionByRange(parts, *keys).withColumn("__p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
