@@ -35,8 +35,9 @@ CAPACITY = 1024
 END_ID = 0
 WORTH = 6
 PIECES = 3
-#: A fixed value: the pattern of the library's byte-level pre-tokenizer, which files name and don't contain.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the library's byte-level pre-tokenizer splits by, which files name and don't contain: words, contractions, numbers and other
+#: signs, each with a blank before it, and runs of blanks. Words stand first, as most pre-tokens are words.
+PATTERN = r" ?\p{L}+|'(?:[sdmt]|ll|ve|re)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class LibraryIds:

@@ -46,14 +46,32 @@ def has_any(characters: frozenset[str]) -> Callable[[str], bool]:
     return lambda text: not text.isascii() and beyond(text) is not None and not characters.isdisjoint(text)
 
 
+def ascii_form(pattern: str) -> str:
+    """The pattern for texts of ASCII alone, where letters and numbers are few enough to be named."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        kind = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}.get(pattern[at : at + 5])
+        if kind:
+            out.append(kind if inside else f"[{kind}]")
+            at += 5
+            continue
+        size = 2 if pattern[at] == "\\" else 1
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at : at + size])
+        at += size
+    return "".join(out)
+
+
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """All matches of the pattern in a text, as the library finds them."""
     compiled = regex.compile(pattern)
     find, other = compiled.findall, judged_otherwise()
     table = {ord(c): _NEITHER for c in other}
-    has_other = has_any(other)
+    has_other, find_ascii = has_any(other), re.compile(ascii_form(pattern), re.ASCII).findall
 
     def split(text: str) -> list[str]:
+        if text.isascii():
+            return find_ascii(text)
         if not has_other(text):
             return find(text)
         return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(table))]
