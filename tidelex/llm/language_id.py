@@ -276,6 +276,7 @@ def identify(docs: DataFrame, texts: list[tuple[str, str]], columns: list[str])
             for part in K.slices(batch, "__text"):
                 lang, score, cost = parser.predict(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())], names=[*columns, "lang_pred", "score", "cost"])
+        K.release()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

@@ -96,6 +96,7 @@ def _each(batches, size: int):
     for batch in batches:
         for part in K.slices(batch, "text"):
             yield part, *shingle_sets(*K.text_buffers(part.column("text")), size)
+    K.release()
 
 
 def class_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

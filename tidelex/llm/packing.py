@@ -35,6 +35,7 @@ CAPACITY = 1024
 END_ID = 0
 WORTH = 6
 PIECES = 3
+WORDS = 100_000
 #: What the library's byte-level pre-tokenizer splits by, which files name and don't contain: words, contractions, numbers and other
 #: signs, each with a blank before it, and runs of blanks. Words stand first, as most pre-tokens are words.
 PATTERN = r" ?\p{L}+|'(?:[sdmt]|ll|ve|re)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,7 +57,7 @@ class LibraryIds:
         self.by_words = by_words and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
         if self.by_words:
             self.special = {a["content"]: a["id"] for a in added}
-            self.split, self.known = splitter(PATTERN), Memory(self._word)
+            self.split, self.known = splitter(PATTERN), Memory(self._word, WORDS)
             self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
 
     def _word(self, word: str) -> bytes:
@@ -180,5 +181,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         rows += bins.finish()
         if rows:
             yield batch_of(rows)
+        K.release()
 
     return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class long" + ", ids array<long>" * with_ids)

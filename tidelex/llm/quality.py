@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str])
             for part in K.slices(batch, "__text"):
                 s = scores(weights, bias, *K.text_buffers(part.column("__text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(s, pa.float64())], names=[*columns, "score"])
+        K.release()
 
     return source.mapInArrow(run, StructType([*(docs.schema[c] for c in columns), StructField("score", DoubleType())]))
 

@@ -32,7 +32,7 @@ from tidelex.llm.shared import bits_for, shuffle_partitions, stored, text_bytes
 
 WINDOW = 50
 MAP_BITS = 26
-SLICE = 8 << 20
+SLICE = 2 << 20
 RANGE = 8 << 20
 TASK = 32 << 20
 FAN_OUT = 12
@@ -138,6 +138,7 @@ def _pack(batches, window: int, bits: int, groups: int, slice_bytes: int = SLICE
                 rows += [(-1 - r[0], None, *r[1:]) for r in _of_marks(h[at], doc[at], place[at], groups)]
             if rows:
                 yield pa.RecordBatch.from_arrays(*_columns(rows, PACKED))
+    K.release()
 
 
 def _split(batches, bits: int, finer: int):
@@ -155,7 +156,7 @@ def _split(batches, bits: int, finer: int):
                 continue
             held.append(_of_range(row, bits))
             size += len(held[-1][0])
-            if size > SLICE // 8:
+            if size > 1 << 19:
                 yield flush(held)
                 held, size = [], 0
     if held:
@@ -172,6 +173,7 @@ def _count(table: pa.Table, bits: int, groups: int) -> pa.Table:
         again = _repeated(h, doc)
         out = _of_marks(h[again], doc[again], place[again], groups)
     columns, names = _columns(out, MARKS)
+    K.release()
     return pa.Table.from_arrays(columns, names=names)
 
 
@@ -274,6 +276,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         marks = {int(doc[a]): (at[a:b], check[a:b]) for a, b in zip(first, np.r_[first[1:], len(doc)])}
         out = [pa.RecordBatch.from_arrays(_rows(part, marks, window, with_text, carry), names=names) for batch in texts.to_batches() for part in K.slices(batch, "text")]
         plain = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text + [texts.schema.field(f"__{c}") for c in carry])
+        K.release()
         return pa.Table.from_batches(out, plain)
 
     some = docs.mapInArrow(touched, "to int, doc_id long, text string" + kinds).repartition(tasks, "to").groupBy("to").cogroup(repeats.repartition(tasks, "to").groupBy("to")).applyInArrow(cut, schema)

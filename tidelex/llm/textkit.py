@@ -8,6 +8,7 @@ one very long text is hashed block by block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,15 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one task needed would count for all after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def planes(values: np.ndarray, kind) -> bytes:
     """Numbers as bytes, all lowest bytes first: the planes of small numbers' high bytes are zeros, which a shuffle compresses away."""
     values = np.ascontiguousarray(values, kind)
