@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
 from tidelex.llm.bpe_stream import WordEncoder
+from tidelex.llm.shared import small_batches
 
 _OPEN: dict[str, WordEncoder] = {}
 
@@ -31,6 +32,7 @@ def encoder(path: str) -> WordEncoder:
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 

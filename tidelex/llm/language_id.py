@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
+from tidelex.llm.shared import small_batches
 
 SAMPLE_SYMBOLS = 24_000
 SAMPLE_DOCUMENTS = 48
@@ -230,6 +231,7 @@ def parser_of(texts: list[tuple[str, str]]) -> CrossParser:
 
 def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
     """Training text of each language, from a bounded sample of the rows that are not held out."""
+    small_batches(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
@@ -266,6 +268,7 @@ def most_costs(texts: list[tuple[str, str]], least: float) -> dict[str, float]:
 def identify(docs: DataFrame, texts: list[tuple[str, str]], columns: list[str]) -> DataFrame:
     """``columns`` of docs (text among them or not) with lang_pred, score and cost."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(texts)
     fields = [docs.schema[c] for c in columns]
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
+from tidelex.llm.shared import small_batches
 
 COVERAGE = 0.8
 #: Words of the text that a region passes over rather than leave out one word of the template.
@@ -169,6 +170,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """(doc_id, license, coverage, n_matched, first_word, last_word) of ``docs(doc_id, text)``: a row for each
     template that covers at least ``coverage``; the last two are positions among the text's words."""
     wanted = [(name, words_of(t)) for name, t in (templates or TEMPLATES).items()]
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def hashed(words: list[str]) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import bits_for, components, shuffle_partitions, stored, text_bytes
+from tidelex.llm.shared import bits_for, components, shuffle_partitions, small_batches, stored, text_bytes
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
@@ -178,6 +178,7 @@ def _shared(table: pa.Table, num: int, den: int) -> pa.Table:
             known = r["range"] < 0
     token, fa, n, fits = _fitting(np.concatenate(token), np.concatenate(fa), np.concatenate(n), num, den)
     fits |= known
+    K.release()
     return pa.table({"token": token[fits].view(np.int64), "fa": fa[fits], "n": n[fits]})
 
 
@@ -283,6 +284,7 @@ def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num:
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP, range_bytes: int = RANGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``; sets link at Jaccard >= num/den."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     amount = text_bytes(docs)
     bits, tasks = bits_for(amount, range_bytes), max(shuffle_partitions(docs.sparkSession), -(-amount // TASK))

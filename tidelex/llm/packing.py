@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidelex.llm import textkit as K
 from tidelex.llm.bpe_stream import byte_symbols
 from tidelex.llm.pretokens import Memory, around, pieces, splitter
+from tidelex.llm.shared import small_batches
 
 CAPACITY = 1024
 END_ID = 0
@@ -154,6 +155,7 @@ class Bins:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bin_class[, ids])."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bin_class"] + ["ids"] * with_ids
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import stored
+from tidelex.llm.shared import small_batches, stored
 
 BITS = 18
 SAMPLE = 6_000
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str]) -> DataFrame:
     """``columns`` of docs with the score of each whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))
 

@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 
 from tidelex.storage import new_path, scratch, stored
 
-__all__ = ["bits_for", "components", "new_path", "scratch", "shuffle_partitions", "stored", "text_bytes"]
+__all__ = ["bits_for", "components", "new_path", "scratch", "shuffle_partitions", "small_batches", "stored", "text_bytes"]
 
 IN_TASK = 300_000
+BATCH_BYTES = 8 << 20
+_BATCHES, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (one row at least) in this session, unless it has a bound of its own. Spark's, of 64 MB, is
+    held several times over on either side of each task; rows count 10,000 at most as before."""
+    if spark.conf.get(_BATCHES, None) == _SPARKS_OWN:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: one pass over that column."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

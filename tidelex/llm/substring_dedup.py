@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import bits_for, shuffle_partitions, stored, text_bytes
+from tidelex.llm.shared import bits_for, shuffle_partitions, small_batches, stored, text_bytes
 
 WINDOW = 50
 MAP_BITS = 26
@@ -221,6 +221,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     number; a full map only means that more texts are shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     carry = list(carry)
     kinds = "".join(f", `__{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).alias(f"__{c}") for c in carry))

@@ -76,8 +76,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with about ``limit`` bytes of text each, one row at least."""
+    """Row ranges of a batch with about the same bytes of text each, ``limit`` at most but for a single row."""
     _, offsets = text_buffers(batch.column(column))
+    limit = min(limit, -(-int(offsets[-1]) // -(-int(offsets[-1]) // limit)) + 4096) if offsets[-1] else limit
     lo, n = 0, batch.num_rows
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)

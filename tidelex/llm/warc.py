@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import new_path, stored
+from tidelex.llm.shared import new_path, small_batches, stored
 
 REVISIT_FROM = 1000
 FILE_BYTES = 32 << 20
@@ -331,6 +331,7 @@ def revisits(pages: DataFrame, at_least: int = REVISIT_FROM, heavy: int = HEAVY)
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, heavy: int = HEAVY, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Pages to ARC archives, these to WARC files in the shared folder, and those read back."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     known = pages.withColumn("digest", _digest_of("html")).join(revisits(pages, heavy=heavy).hint("merge"), ["page_id", "digest"], "left").drop("digest")
     folder = convert(legacy_archives(known), folder or new_path(pages.sparkSession, "warc"), file_bytes)
