@@ -63,3 +63,15 @@ def test_slices_are_even_and_bounded():
     assert list(K.slices(batch.slice(0, 0), "text")) == []
     nothing = pa.RecordBatch.from_arrays([pa.array([None, ""], pa.string())], names=["text"])
     assert [p.num_rows for p in K.slices(nothing, "text")] == [2]
+
+
+def test_one_model_a_process():
+    made = []
+
+    def make(name):
+        made.append(name)
+        return name
+
+    assert [K.model(k, lambda k=k: make(k)) for k in "aabba"] == list("aabba")
+    assert made == ["a", "b", "a"] and len(K._MODEL) == 1
+    assert K.model("none", lambda: None) is None

@@ -20,14 +20,9 @@ from tidelex.llm import textkit as K
 from tidelex.llm.bpe_stream import WordEncoder
 from tidelex.llm.shared import small_batches
 
-_OPEN: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One for each Python process and file."""
-    if path not in _OPEN:
-        _OPEN[path] = WordEncoder(path)
-    return _OPEN[path]
+    """Made once in each Python process."""
+    return K.model(("bpe", path), lambda: WordEncoder(path))
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:

@@ -34,6 +34,7 @@ SAMPLE_DOCUMENTS = 48
 LANGUAGES = 1000
 DENSE = 60
 SEGMENT = 256
+SLICE = 1 << 20
 UNKNOWN = "und"
 #: Times the cost of its own text that a text of a language may have at most (``most_costs``).
 HEADROOM = 1.3
@@ -217,16 +218,9 @@ class CrossParser:
         return [self.languages[b] if o else UNKNOWN for b, o in zip(best, ok)], np.where(ok, score, 0.0), low
 
 
-_BUILT: dict = {}
-
-
 def parser_of(texts: list[tuple[str, str]]) -> CrossParser:
     """Built once in each Python process: the texts are much smaller than the tables."""
-    key = hash(tuple(texts))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = CrossParser(texts)
-    return _BUILT[key]
+    return K.model(("language", tuple(texts)), lambda: CrossParser(texts))
 
 
 def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
@@ -276,7 +270,7 @@ def identify(docs: DataFrame, texts: list[tuple[str, str]], columns: list[str])
     def run(batches):
         parser = parser_of(model.value)
         for batch in batches:
-            for part in K.slices(batch, "__text"):
+            for part in K.slices(batch, "__text", SLICE):
                 lang, score, cost = parser.predict(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())], names=[*columns, "lang_pred", "score", "cost"])
         K.release()

@@ -93,6 +93,7 @@ def _fingerprints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _each(batches, size: int):
+    K.model("shingles", lambda: None)
     for batch in batches:
         for part in K.slices(batch, "text"):
             yield part, *shingle_sets(*K.text_buffers(part.column("text")), size)

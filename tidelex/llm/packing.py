@@ -77,10 +77,9 @@ class LibraryIds:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-@cache
 def tokenizer(path: str) -> LibraryIds:
-    """One for each Python process and file."""
-    return LibraryIds(path)
+    """Made once in each Python process."""
+    return K.model(("packing", path), lambda: LibraryIds(path))
 
 
 def class_of(size: int, capacity: int) -> int:

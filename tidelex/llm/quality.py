@@ -143,6 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str])
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))
 
     def run(batches):
+        K.model("quality", lambda: None)  # the weights are the broadcast's own
         weights, bias = shared.value
         for batch in batches:
             for part in K.slices(batch, "__text"):

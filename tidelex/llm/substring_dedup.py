@@ -121,6 +121,7 @@ def _columns(rows: list[tuple], schema: str) -> tuple[list, list]:
 
 def _pack(batches, window: int, bits: int, groups: int, slice_bytes: int = SLICE):
     """Packed windows of the tasks' texts, and beside them, at negative ranges, what is known as repeated here already."""
+    K.model("windows", lambda: None)
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
         for part in K.slices(batch, "text", slice_bytes):

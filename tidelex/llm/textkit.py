@@ -9,7 +9,7 @@ one very long text is hashed block by block.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,20 @@ def release() -> None:
         pass
 
 
+_MODEL: dict = {}
+
+
+def model(key: Hashable, make: Callable):
+    """What ``make`` gives, made once in each Python process while the same is asked for. Workers are reused by all operators: one
+    that asks for another model lets go of the last, so that a worker holds one at most."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        release()
+        _MODEL[key] = make()
+        release()
+    return _MODEL[key]
+
+
 def planes(values: np.ndarray, kind) -> bytes:
     """Numbers as bytes, all lowest bytes first: the planes of small numbers' high bytes are zeros, which a shuffle compresses away."""
     values = np.ascontiguousarray(values, kind)
