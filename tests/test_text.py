@@ -90,5 +90,5 @@ def test_sorted_postings_of_every_word(spark, tmp_path):
     for i, t in sorted(rows):
         for w in set(model_tokens(t or "")):
             want.setdefault(w, []).append(i)
-    got = {r.term: r.docs for r in entry.queries()["postings_sorted_all"](spark, str(tmp_path)).collect()}
+    got = {r.term: r.docs for r in entry.queries()["postings_sorted"](spark, str(tmp_path)).collect()}
     assert got == want and {"zebra", "banana", "b"} < set(got)
