@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelex.llm import ngram_join
 from tidelex.llm import textkit as K
 from tidelex.llm.bpe import bpe_round_trip
 from tidelex.llm.bpe_stream import Decoder, Transducer, WordEncoder
@@ -143,6 +144,43 @@ def test_ngram_join(spark, group):
     assert len({c for _, _, c in want}) < len(want) - 30
 
 
+@pytest.mark.parametrize("limit", [{}, {"pass_bytes": 30_000}])
+def test_ngram_join_opens_few_cells(spark, monkeypatch, limit):
+    """A line that short and long texts have makes no class ask every group of that line, and opened groups are dealt to passes."""
+    r = random.Random(5)
+    line = " ".join(f"line{k}" for k in range(15))
+    rows = []
+    for k in range(40):
+        rows.append((len(rows), f"{line} " + " ".join(f"{k}x{r.randrange(10**6)}" for _ in range(5))))
+    for k in range(80):
+        words = [f"{k}x{r.randrange(10**6)}" for _ in range(85 + 3 * k)]
+        for changes in (0, 1, 1 + len(words) // 30):  # the first two link if long enough, the third is too far from both
+            for place in range(changes):
+                words[place * len(words) // changes] = f"new{len(rows)}x{place}"
+            rows.append((len(rows), line + "\n" + " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            if 100 * len(s & t) >= 90 * len(s | t):
+                low, high = sorted((up[a], up[b]))
+                up = [low if x == high else x for x in up]
+    tables = []
+
+    def stored(df, name, write=ngram_join.stored):
+        tables.append((name, out := write(df, name)))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_components(docs, group=8, **limit).collect()}
+    assert got == {i: (len(s), up[i]) for i, s in enumerate(sets)}
+    assert 50 < len(set(up)) < len(rows) - 50
+    assert next(t for name, t in tables if name == "cells").count() < 2 * len(rows)
+    across = [name for name, _ in tables][[name for name, _ in tables].index("cells") + 1 :].count("links")
+    assert across > 1 if limit else across == 1
+
+
 def test_language_id(spark):
     r = random.Random(4)
     syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["stra", "ke", "ung", "zz"], "cc": ["é", "que", "ñi", "lo"]}

@@ -8,7 +8,7 @@ share at least k of their first tokens in hash order (``_prefix``), so only thos
    one class has is dropped there, together with those that no class of a fitting size shares. What shares a
    token within one slice of texts is known before that and goes past the ranges;
 2. classes whose most common shared token is the same are similar, and form groups of at most GROUP classes and GROUP_TOKENS tokens; where
-   it has more, those with the same first shared token come together. Each group is opened by itself, and its
+   it has more, those of like size and the same first shared token come together. Each group is opened by itself, and its
    links are joined to components. Where a key has several groups, one class for each component and key forms
    groups again, as long as that merges many: so the groups of a large cluster become one component without
    being compared with each other;
@@ -30,13 +30,15 @@ and different texts link as that doc_id. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import textkit as K
-from tidelex.llm.shared import bits_for, components, shuffle_partitions, small_batches, stored, text_bytes
+from tidelex.llm.shared import bits_for, collect_shuffles, components, shuffle_partitions, small_batches, stored, text_bytes
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
@@ -45,6 +47,7 @@ GROUP = 1024
 QUERIES = 1024
 GROUP_TOKENS = 2 << 20
 RANGE, TASK = 32 << 20, 64 << 20
+LEAST_PASS = 256 << 20
 ROUNDS = 5
 
 
@@ -257,8 +260,13 @@ def _edges(links: list) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components, of grouped(rep, fa, n, gid, rank): classes ask groups through the matrix."""
+def _band(n, num: int, den: int):
+    """Sizes that fit one another lie in neighbouring bands."""
+    return F.floor(F.log(n) * ((1 + 1e-9) / math.log(den / num))) if den > num else n.cast("long")
+
+
+def _cells(grouped: DataFrame, postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, fa, n, gid): the groups that a class has to be compared with, of grouped(rep, fa, n, gid, rank)."""
     rows = stored(_join(postings, grouped, ["fa", "n"]).select("token", "rep", "fa", "n", "gid", "rank"), "rows")
     matrix = rows.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rank").alias("top"))
     # A token whose classes are in one component asks nothing, nor do those of its largest component.
@@ -266,13 +274,25 @@ def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num:
     asking = _join(rows, top, "token").where("rank < best").select("token", "rep", "fa", "n", "rank")
     fits = f"q.n * {num} <= g.high * {den} AND g.low * {num} <= q.n * {den} AND q.rank < g.top"
     met = _join(asking.alias("q"), matrix.alias("g"), "token").where(fits)
-    asked = F.greatest(F.lit(1), F.floor(F.least("n", "low") / EXTRA))
+    smallest = F.greatest(F.least("n", "low"), F.ceil(F.col("n") * num / den))  # of the sets it may link to
+    asked = F.greatest(F.lit(1), F.floor(smallest / EXTRA))
     cells = met.groupBy("rep", "fa", "n", "gid").agg(F.count("*").alias("met"), F.min("low").alias("low")).where(F.col("met") >= asked)
-    cells = stored(cells.select("rep", "fa", "n", "gid"), "cells")
-    blocks = cells.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("blocks"))
+    return stored(cells.select("rep", "fa", "n", "gid"), "cells")
+
+
+def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num: int, den: int, pass_bytes: int) -> DataFrame:
+    """Links between components, of grouped(rep, fa, n, gid, rank): classes ask groups through the matrix, of each group
+    the members of one band of sizes. Opened groups are dealt to as many passes as their sets have ``pass_bytes``."""
+    grouped = grouped.withColumn("gid", F.xxhash64("gid", _band(F.col("n"), num, den)))
+    cells = _cells(grouped, postings, num, den)
+    collect_shuffles(cells.sparkSession)
+    blocks = cells.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("blocks"), F.sum("n").alias("asking"))
+    held = _join(grouped.groupBy("gid").agg(F.sum("n").alias("held")), blocks, "gid")
+    amount = 8 * int(held.agg(F.sum(F.col("asking") + F.col("held") * F.col("blocks"))).first()[0] or 0)
+    passes = max(1, -(-amount // pass_bytes))
+    turn = F.pmod(F.xxhash64("gid", "block"), F.lit(passes))
     members = _join(grouped, blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "fa", F.lit(1).alias("side"))
     queries = _join(cells, blocks, "gid").select("gid", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", "fa", F.lit(0).alias("side"))
-    opened = _join(members.unionByName(queries), sets, ["rep", "fa"]).select("gid", "block", "side", "rep", "tokens")
 
     def link(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
@@ -280,10 +300,16 @@ def _links_across(grouped: DataFrame, postings: DataFrame, sets: DataFrame, num:
             sides[r["side"]].append((r["rep"], np.frombuffer(r["tokens"], np.uint64)))
         return _edges(_link_cell(*sides, num, den) if sides[0] and sides[1] else [])
 
-    return stored(opened.groupBy("gid", "block").applyInArrow(link, "a long, b long"), "links")
+    links = None
+    for i in range(passes):
+        opened = _join(members.unionByName(queries).where(turn == i), sets, ["rep", "fa"]).select("gid", "block", "side", "rep", "tokens")
+        found = stored(opened.groupBy("gid", "block").applyInArrow(link, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        collect_shuffles(cells.sparkSession)
+    return links
 
 
-def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP, range_bytes: int = RANGE) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, group: int = GROUP, range_bytes: int = RANGE, pass_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``; sets link at Jaccard >= num/den."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -293,16 +319,20 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: _pack(it, size, bits, num, den), "range int, tokens binary, sets binary, sizes binary, counts binary")
     shared = packed.repartition(tasks, "range").groupBy("range").applyInArrow(lambda t: _shared(t, num, den), "token long, fa long, n long")
     postings = stored(shared.distinct(), "postings")
+    collect_shuffles(docs.sparkSession)
 
     # Classes that may link at all, each by its smallest doc_id, and their whole sets.
     classes = members.where("fa IS NOT NULL AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     fewest = F.floor(F.ceil(F.col("n") * num / den) / EXTRA)  # what the smallest set that fits asks for
     often = postings.groupBy("token").agg(F.count("*").alias("often"))
     owned = _join(postings, often, "token").groupBy("fa", "n").agg(F.max(F.struct("often", "token")).alias("common"), F.min("token").alias("first"), F.count("*").alias("met"))
-    owned = owned.where(F.col("met") >= F.greatest(F.lit(1), fewest)).select("fa", "n", F.col("common.token").alias("common"), "first")
-    # A common token of many classes has several keys, by their first token, which similar classes share too.
-    spread = owned.groupBy("common").agg(F.ceil(F.count("*") / group).alias("keys"))
-    owned = _join(owned, spread, "common").withColumn("key", F.xxhash64("common", F.pmod(F.xxhash64("first"), "keys")))
+    owned = stored(owned.where(F.col("met") >= F.greatest(F.lit(1), fewest)).select("fa", "n", F.col("common.token").alias("common"), "first"), "met")
+    # A common token of many classes has several keys: by their size, as a line of many texts is in long and short ones, and then
+    # by their first token, which similar classes share too.
+    hot = owned.groupBy("common").count().where(F.col("count") > group).select("common", F.lit(True).alias("hot"))
+    owned = _join(owned, hot, "common", "left").withColumn("band", F.when(F.col("hot"), _band(F.col("n"), num, den)).otherwise(-1))
+    spread = owned.groupBy("common", "band").agg(F.ceil(F.count("*") / group).alias("keys"))
+    owned = _join(owned, spread, ["common", "band"]).withColumn("key", F.xxhash64("common", "band", F.pmod(F.xxhash64("first"), "keys")))
     owned = stored(_join(owned, classes, "fa").select("rep", "fa", "n", "key").distinct(), "owned")
 
     def whole(batches):
@@ -313,6 +343,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
 
     texts = _join(docs.withColumnRenamed("doc_id", "rep"), owned.select("rep", "fa"), "rep").select("rep", "fa", "text")
     sets = stored(texts.mapInArrow(whole, "rep long, fa long, tokens binary").dropDuplicates(["rep", "fa"]), "tokens")
+    collect_shuffles(docs.sparkSession)
 
     first = grouped = _grouped(owned.withColumn("weight", F.lit(1)), group)
     links, before = None, owned.count()
@@ -320,6 +351,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
         found = _links_within(grouped, sets, num, den)
         links = found if links is None else links.unionByName(found)
         label = components(links)
+        collect_shuffles(docs.sparkSession)
         labelled = _join(first, label, first.rep == label.node, "left").select("rep", "fa", "n", "key", "gid", F.coalesce("component", "rep").alias("component"))
         leaders = labelled.groupBy("key", "component").agg(F.min_by(F.struct("rep", "fa", "n"), "rep").alias("r"), F.count("*").alias("weight"))
         several = leaders.groupBy("key").count().where("count > 1").select("key")
@@ -330,7 +362,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR,
         before, grouped = n, _grouped(leaders, group)
     sized = labelled.groupBy("component").agg(F.count("*").alias("many"))
     ranked = _join(labelled, sized, "component").select("rep", "fa", "n", "gid", F.struct("many", "component").alias("rank"))
-    found = components(links.unionByName(_links_across(stored(ranked, "ranked"), postings, sets, num, den)))
+    found = components(links.unionByName(_links_across(stored(ranked, "ranked"), postings, sets, num, den, max(LEAST_PASS, amount // 2) if pass_bytes is None else pass_bytes)))
 
     reps_of = _join(classes, found, classes.rep == found.node, "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
     # A doc_id of several rows stands in several classes; its rows join through it.

@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelex.storage import new_path, scratch, stored
+from tidelex.storage import collect_shuffles, new_path, scratch, stored
 
-__all__ = ["bits_for", "components", "new_path", "scratch", "shuffle_partitions", "small_batches", "stored", "text_bytes"]
+__all__ = ["bits_for", "collect_shuffles", "components", "new_path", "scratch", "shuffle_partitions", "small_batches", "stored", "text_bytes"]
 
 IN_TASK = 300_000
 BATCH_BYTES = 8 << 20

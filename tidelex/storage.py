@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected the plan they belong to, which may be long after the
+    table made of them was ``stored``. To be called between large steps, so that they don't all lie on disk at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
