@@ -398,6 +398,39 @@ def test_packing_cuts_only_where_it_is_worth_it():
     assert cut(3 * 1024 + 512, 1024) == [1024, 1024, 1024, 512] and cut(1024, 1024) == [1024] and cut(1, 1024) == [1]
 
 
+def test_packing_encodes_each_of_many_words_once():
+    from tokenizers import Tokenizer
+
+    from tidelex.llm.packing import LibraryIds
+
+    path = vocabulary("byte_bpe_50k.json")
+    own, encoded = LibraryIds(path), []
+    plain = own.known.encode
+    own.known.encode = lambda word: encoded.append(word) or plain(word)
+    text = " ".join("".join("abcdefghij"[int(d)] for d in str(i)) for i in range(150_000)) + " a\x7fb\t\x01 ~!\"' \xa0 é"
+    first, second = own.ids(text), own.ids(text)
+    assert len(encoded) == len(set(encoded)) > 150_000 and first.tolist() == second.tolist()
+    assert first.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_splitting_below_the_other_planes():
+    import regex
+
+    from tidelex.llm.packing import PATTERN
+    from tidelex.llm.pretokens import judged_otherwise, splitter
+
+    r = random.Random(5)
+    points = [chr(p) for p in [*range(0xD800), *range(0xE000, 0x10000)]]
+    blanks, table = regex.findall(r"\s", "".join(points)), {ord(c): 0x10FFFF for c in judged_otherwise()}
+    doubtful = sorted(judged_otherwise())[:19]
+    some = [r.choice([r.choice(points), r.choice(blanks), r.choice("aé1²'s. \n\x1c\x85"), r.choice(doubtful)]) for _ in range(40_000)]
+    texts = ["".join(f"a{c}1{c}{c} {c}.{c}'s" for c in points[lo : lo + 4000]) for lo in range(0, len(points), 4000)] + ["".join(some[lo : lo + 200]) for lo in range(0, len(some), 200)]
+    for pattern in (PATTERN, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", r"\w+|\s+", "(?i:'S)|.", r"\p{L}+"):
+        split = splitter(pattern)
+        for text in texts:
+            assert split(text) == [text[m.start() : m.end()] for m in regex.finditer(pattern, text.translate(table))]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_of_every_code_point(name):
     from tokenizers import Tokenizer

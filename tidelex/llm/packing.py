@@ -17,8 +17,8 @@ once. Where the file's pre-tokenizer isn't the byte-level one, the library encod
 from __future__ import annotations
 
 import json
+import struct
 import zlib
-from array import array
 from functools import cache
 
 import numpy as np
@@ -36,7 +36,7 @@ CAPACITY = 1024
 END_ID = 0
 WORTH = 6
 PIECES = 3
-WORDS = 100_000
+WORDS = 250_000
 #: What the library's byte-level pre-tokenizer splits by, which files name and don't contain: words, contractions, numbers and other
 #: signs, each with a blank before it, and runs of blanks. Words stand first, as most pre-tokens are words.
 PATTERN = r" ?\p{L}+|'(?:[sdmt]|ll|ve|re)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +59,14 @@ class LibraryIds:
         if self.by_words:
             self.special = {a["content"]: a["id"] for a in added}
             self.split, self.known = splitter(PATTERN), Memory(self._word, WORDS)
-            self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
+            self.tokenize, self.symbols = self.library.model.tokenize, dict(enumerate(byte_symbols()))
+            self.blank = self.symbols[0x20]
 
     def _word(self, word: str) -> bytes:
-        """A pre-token's ids by the library's model, which takes byte-level symbols."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+        """A pre-token's ids by the library's model, which takes byte-level symbols: of printable ASCII only the blank has another."""
+        symbols = word.replace(" ", self.blank) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
+        ids = [t.id for t in self.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_words:
