@@ -44,6 +44,22 @@ def test_pagerank_with_dangling_nodes_multi_edges_and_strangers(spark):
     assert pagerank(nodes.limit(0), spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_pagerank_partitions_go_by_the_edges(spark, monkeypatch):
+    from tidelex.operators import pagerank as P
+
+    seen, step, key = [], P.step, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(P, "step", lambda ranks, weighted, *a: seen.append((weighted.rdd.getNumPartitions(), spark.conf.get(key))) or step(ranks, weighted, *a))
+    nodes, edges = spark.range(4).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long")
+    asked = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "600")
+        pagerank(nodes, edges, iterations=2, tolerance=None)
+        most = spark.sparkContext.defaultParallelism
+        assert spark.conf.get(key) == "600" and len(seen) == 2 and all(0 < k <= most and int(c) <= most for k, c in seen)
+    finally:
+        spark.conf.set(key, asked)
+
+
 def test_crawl_goes_breadth_first_and_restarts(spark, tmp_path):
     folder = str(tmp_path / "c")
     bodies = spark.createDataFrame([("site.example", "User-agent: *\nDisallow: /threads\n")], "host string, body string")
